@@ -9,11 +9,23 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def op2_mix_sources(spark: SparkSession, d: str) -> DataFrame:
+    from .mixing import mix_sizes
+
+    return mix_sizes(_docs(spark, d).select("doc_id", "source", "text"))
+
+
+def op3_jump_shards(spark: SparkSession, d: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(_docs(spark, d).select("doc_id", "text"))
+
+
 def op7_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(_docs(spark, d).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op7_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_jump_shards, op7_near_dedup)}
 ORACLES: dict[str, str] = {}
