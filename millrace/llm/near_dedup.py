@@ -100,7 +100,7 @@ def one_bit(sig: np.ndarray) -> np.ndarray:
 SIGNED = "id long, n_shingles long, digest string, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
-def _sign(batches):
+def _sign(batches, signature=super_minhash):
     import pyarrow as pa
 
     for batch in batches:
@@ -109,7 +109,7 @@ def _sign(batches):
         for i, j in chunks(offsets, 2 << 20):
             sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
             full = [k for k, s in enumerate(sets) if len(s)]
-            sig = super_minhash([sets[k] for k in full])
+            sig = signature([sets[k] for k in full])
             keys, words = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), 4), np.int64)
             if full:
                 keys[full], words[full] = band_keys(sig), one_bit(sig)
@@ -127,7 +127,7 @@ def _sign(batches):
             )
 
 
-def _confirm(batches):
+def _confirm(batches, percent: int = PERCENT):
     import pyarrow as pa
 
     memo: tuple[int | None, np.ndarray | None] = (None, None)
@@ -140,7 +140,7 @@ def _confirm(batches):
                 memo = (a[k], _one(da, oa, k))
             x, y = memo[1], _one(db, ob, k)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[k] = both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+            keep[k] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
@@ -153,13 +153,13 @@ def bits_apart(a: str, b: str):
     return sum((F.bit_count(F.col(f"{a}_s{i}").bitwiseXOR(F.col(f"{b}_s{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}_s0").bitwiseXOR(F.col(f"{b}_s0"))))
 
 
-def can_link(a: str, b: str):
+def can_link(a: str, b: str, percent: int = PERCENT):
     """Necessary for a link: sizes within the threshold (exact) and few one-bit ranks apart."""
     small, large = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
-    return (100 * small >= PERCENT * large) & (bits_apart(a, b) <= MAX_BITS)
+    return (100 * small >= percent * large) & (bits_apart(a, b) <= MAX_BITS + 3 * (PERCENT - percent))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, signature=super_minhash) -> DataFrame:
     """(id_col, n_shingles long, component_id, kept) for every row of `docs`; further columns are ignored.
 
     Defined cases: a null or wordless text has n_shingles 0, is linked with nothing and is kept; rows with
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Copies are collapsed to one representative per distinct set before any candidate is formed.
     """
     pairs_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(pairs_in.mapInArrow(_sign, SIGNED), "signed")
+    signed = materialize(pairs_in.mapInArrow(lambda batches: _sign(batches, signature), SIGNED), "signed")
     classes = (
         signed.filter("id is not null and n_shingles > 0")
         .groupBy("digest", "n_shingles")
@@ -188,9 +188,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
             .select("a", "b", "text_a", "text_b")
         )
-        return both.mapInArrow(_confirm, "a long, b long")
+        return both.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
 
-    comp, _ = common.link_components(rows, bands, verify, can_link)
+    comp, _ = common.link_components(rows, bands, verify, lambda a, b: can_link(a, b, percent))
     of_class = classes_to_components(reps.select("digest", "id"), comp)
     out = signed.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component", "id")

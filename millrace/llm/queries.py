@@ -9,6 +9,12 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def op1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    from .pieces import encode
+
+    return encode(_docs(spark, d).select("doc_id", "text"))
+
+
 def op2_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     from .mixing import mix_sizes
 
@@ -21,11 +27,23 @@ def op3_jump_shards(spark: SparkSession, d: str) -> DataFrame:
     return shard(_docs(spark, d).select("doc_id", "text"))
 
 
+def op4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    from .fingerprints import fingerprint_with_next
+
+    return fingerprint_with_next(_docs(spark, d).select("doc_id", "text"))
+
+
 def op7_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(_docs(spark, d).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_jump_shards, op7_near_dedup)}
+def op8_secrets(spark: SparkSession, d: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_docs(spark, d).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_mix_sources, op3_jump_shards, op4_fingerprints, op7_near_dedup, op8_secrets)}
 ORACLES: dict[str, str] = {}
