@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -220,56 +220,76 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- linking within buckets
-def link_components(rows: DataFrame, bands: DataFrame, verify, can_link) -> tuple[DataFrame, list[DataFrame]]:
-    """Components of the graph whose candidate links are the pairs that share a bucket.
-
-    rows: (id, sketch columns ...), one row per distinct set.  bands: (key, id), a row per bucket a set is
-    in.  verify(pairs(a, b)) returns the pairs that are linked by the full sets; can_link(a, b) is a cheap
-    necessary condition on the sketches of two rows, given by their column prefixes.
-
-    No all-pairs expansion: first every set is compared to the smallest id of each of its buckets, and
-    the links found are closed.  What is left are buckets that hold several components and a third member;
-    only their pairs across components that pass `can_link` are compared, by an equi-join on the bucket.
-    So a group of copies costs as many comparisons as it has members, and no candidate link is lost.
+def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, can_link) -> tuple[DataFrame, list[DataFrame]]:
+    """(components (id, component) of linked sets, confirmed links (a, b)) of the graph whose candidate
+    links are the pairs that share a bucket and whose links have 100 |A & B| >= percent |A | B|.
+
+    rows: (id, n, sketch columns ...), one row per distinct set of n elements.  bands: (key, id), a row per
+    bucket that a set is in.  contents(ids) gives (id, g array<long>), the full sets.  can_link(a, b) is a
+    cheap necessary condition on the sketches of two rows, given by their column prefixes.
+
+    No all-pairs expansion.  First every set is compared to the smallest of the leaders (smallest ids) of
+    its buckets, one comparison per set, and the links found are closed; then to its other leaders, as far
+    as they are in another component by then.  What is left are buckets that hold several components and a
+    third member.  Of these only pairs across components are compared that pass `can_link` and share an
+    element among the first n - k + 1 of both, rarest first, k being what linked sets of their sizes have in
+    common at least: an exact condition, which near copies below the threshold mostly fail.  So a group of copies
+    costs about as many comparisons as it has members, and no candidate that could join two components is
+    left out.
     """
+    sketch = [c for c in rows.columns if c != "id"]
     buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     star = materialize(bands.join(buckets, "key"), "star")
-    sketch = [c for c in rows.columns if c != "id"]
+    sets = materialize(contents(star.select("id").distinct()), "sets")
+
+    def side(df: DataFrame, s: str, *but: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(c if c in but else s if c == "id" else f"{s}_{c}") for c in df.columns]).hint("merge")
 
-    def side(s: str) -> DataFrame:
-        return rows.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in sketch])
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side(sets, "b"), "b").join(side(sets, "a"), "a")
+        both = both.select("a", "b", F.size(F.array_intersect("a_g", "b_g")).alias("i"), (F.size("a_g") + F.size("b_g")).alias("n"))
+        return both.filter(f"i > 0 and 100 * i >= {percent} * (n - i)").select("a", "b")
 
     pairs = star.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(side("b"), "b").join(side("a"), "a").filter(can_link("a", "b")).select("a", "b")
-    linked = materialize(verify(pairs), "links")
-    comp = materialize(connected_components(linked), "comp")
+    pairs = pairs.join(side(rows, "b"), "b").join(side(rows, "a"), "a").filter(can_link("a", "b")).select("a", "b")
+    pairs = materialize(pairs, "pairs")
+    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = [materialize(confirmed(nearest), "links")]
+    comp = materialize(connected_components(links[0]), "comp")
+
+    def close(more: DataFrame) -> None:
+        nonlocal comp
+        links.append(materialize(confirmed(more), "links"))
+        if not links[-1].isEmpty():
+            old, every = comp, links[0]
+            for x in links[1:]:
+                every = every.union(x)
+            comp = materialize(connected_components(every), "comp")
+            discard(old)
+
+    rest = pairs.join(nearest.withColumn("seen", F.lit(1)), ["a", "b"], "left_anti")
+    for s in ("a", "b"):
+        rest = rest.join(comp.select(F.col("id").alias(s), F.col("component").alias(f"{s}_comp")), s, "left")
+    close(rest.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b"))
 
     third = star.filter("size > 2").join(comp.withColumnRenamed("component", "comp"), "id", "left")
     third = third.withColumn("comp", F.coalesce("comp", "id"))
     mixed = third.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    third = third.join(mixed, "key", "left_semi").join(rows, "id")
-    third = materialize(third, "third")
-
-    def half(s: str) -> DataFrame:
-        return third.select("key", "leader", F.col("id").alias(s), F.col("comp").alias(f"{s}_comp"), *[F.col(c).alias(f"{s}_{c}") for c in sketch])
-
-    more = (
-        half("a")
-        .join(half("b").drop("leader"), "key")
-        .filter("a < b and a_comp <> b_comp and a <> leader")
-        .filter(can_link("a", "b"))
-        .select("a", "b")
-        .distinct()
-    )
-    more = materialize(verify(more), "more")
-    discard(star)
-    if more.isEmpty():
-        discard(third)
-        return comp, [linked, more]
-    joined = connected_components(linked.union(more))
-    discard(comp)
-    return materialize(joined, "comp"), [linked, more]
-
-
-def text_key(c: str | Column) -> Column:
-    return F.xxhash64(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    third = third.join(mixed, "key", "left_semi").select("id", "comp").distinct()
+    third = materialize(third.join(rows, "id"), "third")
+    tokens = sets.join(third.select("id", "n"), "id").select("id", "n", F.explode("g").alias("token"))
+    rarity = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    # elements of one set only come first in every order and meet no other set: they just use up the prefix
+    ranked = tokens.join(rarity, "token", "left").withColumn("r", F.expr("row_number() over (partition by id order by coalesce(df, 1), token)"))
+    prefix = ranked.filter(f"df > 1 and r <= n - ceil(n * {percent} / 100D - 1e-9) + 1").select("id", "token", "r")
+    prefix = materialize(prefix.join(third, "id"), "prefix")
+    lively = prefix.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
+    prefix = prefix.join(lively, "token", "left_semi")
+    least = f"ceil({percent} * (a_n + b_n) / {100 + percent}D - 1e-9)"  # elements that two linked sets share
+    cross = side(prefix, "a", "token").join(side(prefix, "b", "token"), "token").filter("a < b and a_comp <> b_comp")
+    cross = cross.filter(f"a_r <= a_n - {least} + 1 and b_r <= b_n - {least} + 1")
+    cross = materialize(cross.filter(can_link("a", "b")).select("a", "b").distinct(), "cross")
+    close(cross.join(pairs, ["a", "b"], "left_anti"))
+    for x in (star, third, sets, pairs, prefix, cross):
+        discard(x)
+    return comp, links

@@ -27,8 +27,8 @@ SHINGLE = 5
 #: A link has 100 * |A & B| >= PERCENT * |A | B|.
 PERCENT = 85
 #: Pairs are compared on full sets if at most so many of the M one-bit ranks differ.  At similarity 0.85
-#: a bit differs with probability 0.075; 44 of 216 lies 7 standard deviations above the mean.
-MAX_BITS = 44
+#: a bit differs with probability 0.075; 40 of 216 lies 6 standard deviations above the mean.
+MAX_BITS = 40
 _GAMMA = _U(0x9E3779B97F4A7C15)
 
 
@@ -127,26 +127,16 @@ def _sign(batches, signature=super_minhash):
             )
 
 
-def _confirm(batches, percent: int = PERCENT):
+def _sets(batches):
     import pyarrow as pa
 
-    memo: tuple[int | None, np.ndarray | None] = (None, None)
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        (da, oa), (db, ob) = text_buffers(batch.column(2)), text_buffers(batch.column(3))
-        keep = np.zeros(len(a), bool)
-        for k in range(len(a)):
-            if memo[0] != a[k]:
-                memo = (a[k], _one(da, oa, k))
-            x, y = memo[1], _one(db, ob, k)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[k] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-
-def _one(data: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
-    part = data[offsets[k] : offsets[k + 1]]
-    return shingle_sets(part, np.array([0, len(part)]), SHINGLE)[0]
+        data, offsets = text_buffers(batch.column(1))
+        for i, j in chunks(offsets, 2 << 20):
+            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "g"])
 
 
 def bits_apart(a: str, b: str):
@@ -178,19 +168,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = reps.select("id", "n", "s0", "s1", "s2", "s3")
     bands = reps.select(F.explode("bands").alias("key"), "id")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        # one text per representative: rows that share an id are told apart by nothing here, the least text stands
-        texts = materialize(pairs_in.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-        both = (
-            pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-            .join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-            .select("a", "b", "text_a", "text_b")
-        )
-        return both.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
-
-    comp, _ = common.link_components(rows, bands, verify, lambda a, b: can_link(a, b, percent))
+    def contents(ids: DataFrame) -> DataFrame:
+        # rows that share an id are told apart by nothing here: the least text stands for them
+        texts = pairs_in.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        return texts.mapInArrow(_sets, "id long, g array<long>")
+
+    comp, _ = common.link_components(rows, bands, contents, percent, lambda a, b: can_link(a, b, percent))
     of_class = classes_to_components(reps.select("digest", "id"), comp)
     out = signed.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component", "id")
