@@ -45,5 +45,11 @@ def op8_secrets(spark: SparkSession, d: str) -> DataFrame:
     return scan(_docs(spark, d).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op2_mix_sources, op3_jump_shards, op4_fingerprints, op7_near_dedup, op8_secrets)}
+def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from .lines import line_report
+
+    return line_report(_docs(spark, d).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_mix_sources, op3_jump_shards, op4_fingerprints, op7_near_dedup, op8_secrets, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
