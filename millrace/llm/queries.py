@@ -33,6 +33,12 @@ def op4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint_with_next(_docs(spark, d).select("doc_id", "text"))
 
 
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_docs(spark, d).select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"))
+
+
 def op7_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -51,5 +57,5 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_report(_docs(spark, d).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op2_mix_sources, op3_jump_shards, op4_fingerprints, op7_near_dedup, op8_secrets, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_mix_sources, op3_jump_shards, op4_fingerprints, op6_toxicity, op7_near_dedup, op8_secrets, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
