@@ -33,6 +33,12 @@ def op4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint_with_next(_docs(spark, d).select("doc_id", "text"))
 
 
+def op5_graph_ann(spark: SparkSession, d: str) -> DataFrame:
+    from .graph_ann import nearest
+
+    return nearest(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -51,11 +57,17 @@ def op8_secrets(spark: SparkSession, d: str) -> DataFrame:
     return scan(_docs(spark, d).select("doc_id", "text"))
 
 
+def op9_licenses(spark: SparkSession, d: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_docs(spark, d).select("doc_id", "text"))
+
+
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     from .lines import line_report
 
     return line_report(_docs(spark, d).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op2_mix_sources, op3_jump_shards, op4_fingerprints, op6_toxicity, op7_near_dedup, op8_secrets, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_mix_sources, op3_jump_shards, op4_fingerprints, op5_graph_ann, op6_toxicity, op7_near_dedup, op8_secrets, op9_licenses, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
