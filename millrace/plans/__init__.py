@@ -1 +1 @@
-
+"""Query registry, SQL front ends and query definitions."""
