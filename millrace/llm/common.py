@@ -261,10 +261,8 @@ def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, c
         nonlocal comp
         links.append(materialize(confirmed(more), "links"))
         if not links[-1].isEmpty():
-            old, every = comp, links[0]
-            for x in links[1:]:
-                every = every.union(x)
-            comp = materialize(connected_components(every), "comp")
+            old, stars = comp, comp.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+            comp = materialize(connected_components(stars.union(links[-1])), "comp")
             discard(old)
 
     rest = pairs.join(nearest.withColumn("seen", F.lit(1)), ["a", "b"], "left_anti")
@@ -282,14 +280,26 @@ def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, c
     # elements of one set only come first in every order and meet no other set: they just use up the prefix
     ranked = tokens.join(rarity, "token", "left").withColumn("r", F.expr("row_number() over (partition by id order by coalesce(df, 1), token)"))
     prefix = ranked.filter(f"df > 1 and r <= n - ceil(n * {percent} / 100D - 1e-9) + 1").select("id", "token", "r")
-    prefix = materialize(prefix.join(third, "id"), "prefix")
-    lively = prefix.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
-    prefix = prefix.join(lively, "token", "left_semi")
+    prefix = materialize(prefix.join(third.drop("comp"), "id"), "prefix")
     least = f"ceil({percent} * (a_n + b_n) / {100 + percent}D - 1e-9)"  # elements that two linked sets share
-    cross = side(prefix, "a", "token").join(side(prefix, "b", "token"), "token").filter("a < b and a_comp <> b_comp")
-    cross = cross.filter(f"a_r <= a_n - {least} + 1 and b_r <= b_n - {least} + 1")
-    cross = materialize(cross.filter(can_link("a", "b")).select("a", "b").distinct(), "cross")
-    close(cross.join(pairs, ["a", "b"], "left_anti"))
-    for x in (star, third, sets, pairs, prefix, cross):
+    tested = [pairs]
+    for limit in (1, 8, None):  # first one set per element and component, then more, then all: links merge components early
+        now = prefix.join(comp.withColumnRenamed("component", "now"), "id", "left").withColumn("comp", F.coalesce("now", "id")).drop("now")
+        lively = now.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
+        now = materialize(now.join(lively, "token", "left_semi"), "lively")
+        if now.isEmpty():
+            discard(now)
+            break
+        few = now
+        if limit:
+            few = now.withColumn("k", F.expr("row_number() over (partition by token, comp order by id)")).filter(F.col("k") <= limit).drop("k")
+        cross = side(few, "a", "token").join(side(few, "b", "token"), "token").filter("a < b and a_comp <> b_comp")
+        cross = cross.filter(f"a_r <= a_n - {least} + 1 and b_r <= b_n - {least} + 1").filter(can_link("a", "b")).select("a", "b").distinct()
+        for t in tested:
+            cross = cross.join(t, ["a", "b"], "left_anti")
+        tested.append(materialize(cross, "cross"))
+        close(tested[-1])
+        discard(now)
+    for x in (star, third, sets, prefix, *tested):
         discard(x)
     return comp, links
