@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp, _ = common.link_components(rows, bands, contents, percent, lambda a, b: can_link(a, b, percent))
     of_class = classes_to_components(reps.select("digest", "id"), comp)
     out = signed.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
     )

@@ -1,0 +1,162 @@
+import random
+import re
+import zlib
+
+import numpy as np
+
+from millrace.llm import graph_ann, licenses, secrets, toxicity
+
+from .conftest import prose
+
+
+# --- 5: graph search
+def vectors(spark, x, extra=()):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + list(extra)
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+
+
+def brute(x, ids, q, k=5):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u[q]
+    order = [i for i in np.lexsort((ids, -np.round(s, 12))) if i != q]
+    return [int(ids[i]) for i in order[:k]]
+
+
+def test_recall_over_shards(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32)).astype(np.float32).astype(np.float64)
+    got = {}
+    for r in graph_ann.nearest(vectors(spark, x), shard=400).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 1500, 50))
+    hit = 0
+    for q, found in got.items():
+        found.sort()
+        assert [f[0] for f in found] == [1, 2, 3, 4, 5]
+        hit += len({f[1] for f in found} & set(brute(x, np.arange(1500), q)))
+        for _, v, s in found:
+            assert abs(s - x[q] @ x[v] / np.linalg.norm(x[q]) / np.linalg.norm(x[v])) < 1e-12
+    assert hit / (5 * len(got)) >= 0.95
+
+
+def test_copies_and_invalid_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(100, 8))
+    x[50:80] = x[0]  # one common vector
+    bad = [(1000, None), (1050, [0.0] * 8), (1100, [float("nan")] * 8), (1150, [1.0, None] * 4), (1200, []), (None, [1.0] * 8), (1250, [float("inf")] * 8)]
+    got = {}
+    for r in graph_ann.nearest(vectors(spark, x, bad)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [50, 51, 52, 53, 54], 50: [0, 51, 52, 53, 54]}
+    assert graph_ann.nearest(vectors(spark, x[:0])).count() == 0
+    assert [r.vec_id for r in graph_ann.nearest(vectors(spark, x[:3])).orderBy("rank").collect()] == brute(x[:3], np.arange(3), 0)
+
+
+# --- 6: toxicity
+def labelled(spark, n=700):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(n):
+        t, y = prose(rng, 40).split(" "), int(i % 4 == 0)
+        if y:
+            for _ in range(3):
+                t[rng.randrange(40)] = rng.choice(["xqzzard", "bloorgh", "wimpfen"])
+        rows.append((i, " ".join(t)))
+        labels.append((i, y))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = labelled(spark)
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 700
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) / len(held) > 0.95
+    flipped = labels.selectExpr("doc_id", "if(crc32(cast(doc_id as string)) % 5 = 0, 1 - toxic, toxic) as toxic")
+    again = {r.doc_id: r.score for r in toxicity.toxicity(docs, flipped).collect()}
+    assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in got)  # held-out labels are never learned
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()}
+    assert kept == {r.doc_id for r in got if r.score < 0.5}
+
+
+def test_toxicity_edges(spark, empty, odd):
+    _, labels = labelled(spark, 40)
+    assert toxicity.toxicity(empty, labels).count() == 0
+    none = labels.filter("false")
+    assert toxicity.toxicity(odd, none).filter("score between 0 and 1").count() == odd.count()
+    odd_labels = spark.createDataFrame([(None, 1), (2, None), (3, 1), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.toxicity(odd, odd_labels).count() == odd.count()
+
+
+# --- 8: secrets
+def test_base_patterns_match_brute_force(docs, corpus):
+    A = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert len(got) == len(corpus)
+    for i, t, *_ in corpus:
+        t = t or ""
+        assert got[i].n_assign == sum(len(m[2]) >= 6 for m in A.finditer(t))
+        assert got[i].n_access == sum(len(m[0]) >= 20 for m in re.finditer("AKIA[A-Z0-9]+", t))
+        assert got[i].n_hex == sum(len(m[0]) >= 24 for m in re.finditer("[0-9a-f]+", t))
+    assert got[26].n_assign == 2 and got[26].n_hex == 1
+
+
+def found(text):
+    return [text[a:b] for a, b in secrets.named(text)]
+
+
+def test_names_and_constants():
+    assert found('db_password = "s3cr3tPa55w0rd"') == ["s3cr3tPa55w0rd"]
+    assert found('{"clientSecret": "Abc123Def456Ghi"}') == ["Abc123Def456Ghi"]
+    assert found('x = "Qw8rTz91LmNp"\nauth_token = x') == ["Qw8rTz91LmNp"]  # propagated
+    assert found('a = "Qw8rTz91"\nb = a + "LmNp77xY"\nSECRET_KEY = b') == ["Qw8rTz91", "LmNp77xY"]
+    assert found('password = "changeme"') == [] and found('title = "Qw8rTz91LmNp"') == []
+    assert found("password = ${DB_PASSWORD}") == [] and found('password = "two words here"') == []
+    assert found("access_key: AbCd1234EfGh5678") == ["AbCd1234EfGh5678"]
+    assert found("see https://example.org and time 12:30") == []
+
+
+def test_secret_edges(empty, odd, docs):
+    assert secrets.scan(empty).count() == 0 and secrets.scan(odd).count() == odd.count()
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert "Zx81kQpL29vTr7" not in clean[26] and "[SECRET]" in clean[26]
+
+
+# --- 9: licences
+def dice(a, b):
+    def grams(t):
+        w = [x for x in re.split(r"[^a-z0-9.]+|\.(?![a-z0-9])", t.lower()) if x]
+        return {tuple(w[i : i + 2]) for i in range(len(w) - 1)}
+
+    x, y = grams(a), grams(b)
+    return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
+
+
+def test_licences_match_brute_force(spark):
+    rng = random.Random(8)
+    flat = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    texts = [prose(rng, 50), "Intro line\nReleased under the MIT License.", "This work is licensed under the GNU General Public License, version 3", "All rights reserved", None, ""]
+    for n, t in flat:
+        w = t.split(" ")
+        if len(w) > 12:
+            w[6] = "changed"
+        texts.append(prose(rng, 9) + "\n" + " ".join(w) + "\n" + prose(rng, 7))
+    long = dict(flat)["MIT"].split(" ")
+    texts.append(" ".join(long[:30]) + "\n" + " ".join(long[30:]) + "\n\nend")  # a notice over two lines
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        units = (t or "").split("\n") + [p for p in re.split(r"\n[\x20\x09\x0D]*\n", t or "") if "\n" in p]
+        best = [max((dice(u, x), n) for n, x in flat) for u in units]
+        want = [(k, s, n) for k, (s, n) in enumerate(best) if s >= licenses.THRESHOLD]
+        assert [(m.unit, m.license) for m in got[i].matches] == [(k, n) for k, _, n in want]
+        assert all(abs(m.score - s) < 1e-12 for m, (_, s, _) in zip(got[i].matches, want, strict=True))
+        assert got[i].license == (max((s, n) for _, s, n in want)[1] if want else None)
+
+
+def test_licence_edges(empty, odd, docs):
+    from millrace.sources.files import explain
+
+    assert licenses.scan(empty).count() == 0 and licenses.scan(odd).count() == odd.count()
+    plan = explain(licenses.scan(docs))
+    assert not [n for n in ("EvalPython", "MapInArrow", "MapInPandas", "PythonUDF", "Exchange") if n in plan]
