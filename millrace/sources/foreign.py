@@ -148,11 +148,14 @@ class DocumentSource(DataSource):
                 for line, _ in zip(f, range(100)):
                     for k, v in json.loads(line).items():
                         kind = "boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) else "double" if isinstance(v, float) else "string"
-                        if v is not None and kinds.get(k, kind) != kind:
-                            kind = "double" if {kind, kinds[k]} == {"bigint", "double"} else "string"
-                        if v is not None or k not in kinds:
+                        old = kinds.get(k)
+                        if v is None:
+                            kinds.setdefault(k, "")
+                        elif old and old != kind:
+                            kinds[k] = "double" if {kind, old} == {"bigint", "double"} else "string"
+                        else:
                             kinds[k] = kind
-        return ", ".join(f"`{k}` {v}" for k, v in kinds.items())
+        return ", ".join(f"`{k}` {v or 'string'}" for k, v in kinds.items())
 
     def reader(self, schema):
         return _DocumentReader(schema, self.options)
