@@ -25,7 +25,8 @@ from .common import _U, _powers, chunks, mix64, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, SHARPNESS = 20240501, 1.0
-CHUNK = 4 << 20
+#: Bytes of text whose lattices are held at once by a worker (about 60 times as much memory).
+CHUNK = 3 << 19
 _SPACE, _LF = 32, 10
 
 
@@ -82,7 +83,7 @@ class Coder:
         for s, c in enumerate(children):
             if c:
                 self.next[s, list(c)] = list(c.values())
-        self.piece, self.logp, self.ids = np.array(piece), np.array(v.logp), np.array(v.ids, np.int32)
+        self.piece, self.logp, self.ids = np.array(piece, np.int32), np.array(v.logp), np.array(v.ids, np.int32)
         self.byte_ids, self.byte_logp = np.array(v.byte_ids, np.int32), float(min(v.logp)) - 1.0
         self.longest = max(map(len, v.pieces))
         raw = [b""] * v.size
@@ -125,9 +126,9 @@ class Coder:
 
     def _lattice(self, words: np.ndarray, u_at: np.ndarray, u_len: np.ndarray):
         """Edges by end node, with each node's backward probabilities.  Nodes: byte boundaries of words."""
-        n, token = len(words), np.repeat(np.arange(len(u_at)), u_len)
-        end_of = (u_at + u_len)[token]
-        begins = np.flatnonzero((words & 0xC0) != 0x80)
+        n, token = len(words), np.repeat(np.arange(len(u_at), dtype=np.int32), u_len)
+        end_of = (u_at + u_len).astype(np.int32)[token]
+        begins = np.flatnonzero((words & 0xC0) != 0x80).astype(np.int32)
         nxt, piece = self.next, self.piece
         from_, to, what = [], [], []
         p, state, depth = begins, nxt[0, words[begins]], 1
@@ -145,21 +146,22 @@ class Coder:
             depth += 1
         size = np.diff(np.append(begins, n))  # bytes of each character
         single = np.zeros(n + 1, bool)
-        width = np.zeros(n, np.int64)
+        width = np.zeros(n, np.int32)
         width[begins] = size
         for f, t in zip(from_, to, strict=True):
             single[f[t - f == width[f]]] = True
         lone = begins[~single[begins]]
         from_.append(lone)
         to.append(lone + width[lone])
-        what.append(np.full(len(lone), -1))
+        what.append(np.full(len(lone), -1, np.int32))
         f, t, k = np.concatenate(from_), np.concatenate(to), np.concatenate(what)
+        del from_, to, what
         weight = np.where(k >= 0, self.logp[k], self.byte_logp * (t - f))
         tok = token[f]
         f, t = f + tok, t + tok  # bytes to nodes: every word has one node more than bytes
         order = np.argsort(t, kind="stable")
         f, t, k, weight, tok = f[order], t[order], k[order], weight[order], tok[order]
-        rel = t - u_at[tok] - tok
+        rel = t - u_at.astype(np.int32)[tok] - tok
         by = np.argsort(rel.astype(np.uint16) if rel.max() < 65536 else rel, kind="stable")
         cuts = np.flatnonzero(np.diff(rel[by])) + 1
         alpha = np.zeros(n + len(u_at))
