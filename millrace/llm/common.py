@@ -224,7 +224,7 @@ def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, c
     """(components (id, component) of linked sets, confirmed links (a, b)) of the graph whose candidate
     links are the pairs that share a bucket and whose links have 100 |A & B| >= percent |A | B|.
 
-    rows: (id, n, sketch columns ...), one row per distinct set of n elements.  bands: (key, id), a row per
+    rows: (id, sketch columns ...), one row per distinct set; its size n is added from the full sets.  bands: (key, id), a row per
     bucket that a set is in.  contents(ids) gives (id, g array<long>), the full sets.  can_link(a, b) is a
     cheap necessary condition on the sketches of two rows, given by their column prefixes.
 
@@ -237,10 +237,10 @@ def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, c
     costs about as many comparisons as it has members, and no candidate that could join two components is
     left out.
     """
-    sketch = [c for c in rows.columns if c != "id"]
     buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     star = materialize(bands.join(buckets, "key"), "star")
     sets = materialize(contents(star.select("id").distinct()), "sets")
+    rows = materialize(rows.drop("n").join(sets.select("id", F.size("g").alias("n")).hint("merge"), "id"), "rows")
 
     def side(df: DataFrame, s: str, *but: str) -> DataFrame:
         return df.select(*[F.col(c).alias(c if c in but else s if c == "id" else f"{s}_{c}") for c in df.columns]).hint("merge")
@@ -295,11 +295,13 @@ def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, c
             few = now.withColumn("k", F.expr("row_number() over (partition by token, comp order by id)")).filter(F.col("k") <= limit).drop("k")
         cross = side(few, "a", "token").join(side(few, "b", "token"), "token").filter("a < b and a_comp <> b_comp")
         cross = cross.filter(f"a_r <= a_n - {least} + 1 and b_r <= b_n - {least} + 1").filter(can_link("a", "b")).select("a", "b").distinct()
-        for t in tested:
-            cross = cross.join(t, ["a", "b"], "left_anti")
+        before = tested[0]
+        for t in tested[1:]:
+            before = before.union(t)
+        cross = cross.join(before, ["a", "b"], "left_anti")
         tested.append(materialize(cross, "cross"))
         close(tested[-1])
         discard(now)
-    for x in (star, third, sets, prefix, *tested):
+    for x in (star, third, sets, rows, prefix, *tested):
         discard(x)
     return comp, links

@@ -21,15 +21,22 @@ from .common import materialize
 SHINGLE, PIECE, MINIMA, ROWS = 12, 8, 28, 4
 #: Two lines are linked from this Jaccard similarity on.
 PERCENT = 85
-#: Lines of fewer shingles are left alone: short lines repeat by chance.
+#: Lines of fewer pieces are left alone: short lines repeat by chance.
 LEAST = 5
+#: Full sets are compared if so many minima agree: at the threshold that fails with a probability of 1e-6.
+LEAST_EQUAL = 14
 _PATTERN = rf"(?s)(?=([^\x20\x09-\x0D].{{0,{SHINGLE - 1}}}))[^\x20\x09-\x0D]{{1,{PIECE}}}[\x20\x09-\x0D]*"
 _LAST = 2**63 - 1
 
 
+def pieces(line: Column) -> Column:
+    """array<string>: the shingle of each piece of a line, in order."""
+    return F.regexp_extract_all(line, F.lit(_PATTERN), F.lit(1))
+
+
 def shingles(line: Column) -> Column:
     """array<long>: the distinct hashes of a line's character shingles."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_PATTERN), F.lit(1)), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(pieces(line), lambda s: F.xxhash64(s)))
 
 
 def _lines(docs: DataFrame, *more: Column) -> DataFrame:
@@ -43,18 +50,18 @@ def _lines(docs: DataFrame, *more: Column) -> DataFrame:
 def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(places (did, th, pos, component) of all lines that take part, with a component shared by the lines
     to be merged; the links confirmed)."""
-    grams = _lines(docs).select("h1", "h2", shingles(F.col("line")).alias("g"))
-    grams = grams.select("h1", "h2", F.size("g").alias("n"), F.explode(F.when(F.size("g") >= LEAST, F.col("g"))).alias("g"))
-    minima = [F.min(F.xxhash64("g", F.lit(k))).alias(f"m{k}") for k in range(MINIMA)]
-    found = grams.groupBy("h1", "h2").agg(F.first("n").alias("n"), *minima)
+    grams = _lines(docs).select("h1", "h2", pieces(F.col("line")).alias("p"))
+    grams = grams.select("h1", "h2", F.explode(F.when(F.size("p") >= LEAST, F.col("p"))).alias("p")).select("h1", "h2", F.xxhash64("p").alias("g"))
+    found = grams.groupBy("h1", "h2").agg(*[F.min(F.xxhash64("g", F.lit(k))).alias(f"m{k}") for k in range(MINIMA)])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(MINIMA // ROWS)]
+    sketch = F.array(*[F.col(f"m{k}").bitwiseAND(F.lit(0x7FFF)).cast("short") for k in range(MINIMA)])
     # ids only have to be distinct, and are fixed by the table that is written here
-    found = materialize(found.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "n", F.array(*bands).alias("bands")), "lines")
-    rows = found.select("id", "n", "bands")
+    found = materialize(found.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", sketch.alias("m"), F.array(*bands).alias("bands")), "lines")
 
     def can_link(a: str, b: str) -> Column:
         small, large = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
-        return 100 * small >= PERCENT * large
+        equal = F.aggregate(F.zip_with(f"{a}_m", f"{b}_m", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
+        return F.when(100 * small >= PERCENT * large, equal >= LEAST_EQUAL).otherwise(False)
 
     def contents(ids: DataFrame) -> DataFrame:
         keys = found.join(ids, "id").select("id", "h1", "h2").hint("merge")
@@ -62,7 +69,7 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return sets.dropDuplicates(["id"]).select("id", shingles(F.col("line")).alias("g"))
 
     keys = found.select(F.explode("bands").alias("key"), "id")
-    comp, links = common.link_components(rows.select("id", "n"), keys, contents, PERCENT, can_link)
+    comp, links = common.link_components(found.select("id", "m"), keys, contents, PERCENT, can_link)
     of_line = found.join(comp, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     places = _lines(docs).select("did", "th", "pos", "h1", "h2").join(of_line, ["h1", "h2"]).select("did", "th", "pos", "component")
     return places, links[0]
@@ -83,7 +90,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped array<int> for every row of `docs`.
 
     Lines are cut at line feeds and numbered from 0; white space around a line is ignored.  A null or empty
-    text is one empty line; lines of fewer than LEAST shingles take no part.  Rows that agree in doc_id and
+    text is one empty line; lines of fewer than LEAST pieces take no part.  Rows that agree in doc_id and
     text are one document; null ids come last.  Further columns are ignored.
     """
     drops = dropped_lines(docs)

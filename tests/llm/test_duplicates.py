@@ -126,7 +126,10 @@ def test_fingerprint_edges(spark, empty, odd):
 
 # --- 10: lines
 def line_set(line):
+    """Shingles of a line; none if it has too few pieces to take part."""
     out = set()
+    if len(re.findall(r"[^\x20\x09-\x0D]{1,8}", line)) < lines.LEAST:
+        return out
     for m in re.finditer(r"[^\x20\x09-\x0D]{1,8}", line):
         out.add(line[m.start() : m.start() + 12])
     return out
@@ -150,7 +153,7 @@ def test_line_dedup_matches_brute_force(spark):
     rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
     every = [(i, p, line.strip()) for i, t in rows for p, line in enumerate(t.split("\n"))]
     sets = {(i, p): line_set(x) for i, p, x in every}
-    sets = {k: s for k, s in sets.items() if len(s) >= lines.LEAST}
+    sets = {k: s for k, s in sets.items() if s}
     links = [(a, b) for a, b in combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= lines.PERCENT * len(sets[a] | sets[b])]
     root = groups(sorted(sets), links)
     want = {}
