@@ -154,9 +154,9 @@ def test_licences_match_brute_force(spark):
         assert got[i].license == (max((s, n) for _, s, n in want)[1] if want else None)
 
 
-def test_licence_edges(empty, odd, docs):
+def test_licence_edges(empty, odd):
     from millrace.sources.files import explain
 
     assert licenses.scan(empty).count() == 0 and licenses.scan(odd).count() == odd.count()
-    plan = explain(licenses.scan(docs))
+    plan = explain(licenses.scan(odd))
     assert not [n for n in ("EvalPython", "MapInArrow", "MapInPandas", "PythonUDF", "Exchange") if n in plan]
