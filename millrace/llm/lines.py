@@ -2,12 +2,11 @@
 
 A line's set holds the hashes of its character shingles: its words are cut into pieces of at most 8
 characters, and each piece starts a shingle of 12 characters.  MinHash minima over the shingles are taken
-by one aggregation keyed by the line's 128-bit hash, which also collapses equal lines; bands of 4 of 28
+by one aggregation keyed by the line's 128-bit hash, which also collapses equal lines; bands of 3 of 36
 minima give candidates, confirmed by exact Jaccard on the full sets; distributed union-find groups the
 links and the first line of each component, by document and place, stays.
 
-A pair at similarity 0.85 is missed by the 7 bands with probability (1 - 0.85^4)^7 = 6e-3, at 0.9 with 6e-4, at
-0.95 with 7e-6.  Shorter bands would find more, but chance agreements grow with the square of the corpus.
+A pair at similarity 0.8 is missed by the 12 bands with probability (1 - 0.8^3)^12 = 2e-4, at 0.9 with 2e-7.
 """
 
 from __future__ import annotations
@@ -18,20 +17,20 @@ from pyspark.sql import functions as F
 from . import common
 from .common import materialize
 
-SHINGLE, PIECE, MINIMA, ROWS = 12, 8, 28, 4
+SHINGLE, PIECE, MINIMA, ROWS = 12, 8, 36, 3
 #: Two lines are linked from this Jaccard similarity on.
-PERCENT = 85
+PERCENT = 80
 #: Lines of fewer pieces are left alone: short lines repeat by chance.
 LEAST = 5
 #: Full sets are compared if so many minima agree: at the threshold that fails with a probability of 1e-6.
-LEAST_EQUAL = 14
+LEAST_EQUAL = 16
 _PATTERN = rf"(?s)(?=([^\x20\x09-\x0D].{{0,{SHINGLE - 1}}}))[^\x20\x09-\x0D]{{1,{PIECE}}}[\x20\x09-\x0D]*"
 _LAST = 2**63 - 1
 
 
 def pieces(line: Column) -> Column:
-    """array<string>: the shingle of each piece of a line, in order."""
-    return F.regexp_extract_all(line, F.lit(_PATTERN), F.lit(1))
+    """array<string>: the shingle of each piece of a line, in order, letter case ignored."""
+    return F.regexp_extract_all(F.lower(line), F.lit(_PATTERN), F.lit(1))
 
 
 def shingles(line: Column) -> Column:

@@ -168,6 +168,18 @@ def test_line_dedup_matches_brute_force(spark):
     assert out == {i: x for i, t in rows if (x := "\n".join(y for p, y in enumerate(t.split("\n")) if p not in want.get(i, []))).strip() or i not in want}
 
 
+def test_line_links_from_80_percent_whatever_the_case(spark):
+    rng = random.Random(1)
+    w = ["".join(rng.choices("abcdefgh", k=8)) for _ in range(20)]
+    a, b = " ".join(w), " ".join([*w[:10], "wxyz" + w[10][4:], *w[11:]])
+    s, t = line_set(a), line_set(b)
+    assert 80 <= 100 * len(s & t) / len(s | t) < 85
+    c = prose(random.Random(2), 30)
+    rows = [(1, a), (2, b), (3, c), (4, c.upper())]
+    got = {r.doc_id: r.dropped for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: [], 4: [0]}
+
+
 def test_line_dedup_is_native(docs, spark):
     from millrace.sources.files import explain
 
