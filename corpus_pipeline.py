@@ -22,8 +22,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays, the one
+    with the smallest id."""
+    return near_dedup.keep_one(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def classes_to_components(reps: DataFrame, comp: DataFrame) -> DataFrame:
     return reps.join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents that are near copies of one with a smaller doc_id."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """`docs` without the documents that are near copies, from `percent` on, of one with a smaller doc_id."""
+    gone = near_duplicates(docs, percent=percent).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

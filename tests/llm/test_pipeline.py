@@ -1,7 +1,11 @@
+import random
+
 import __spark_entry__
 import corpus_pipeline
 from millrace.llm import common
 
+from .conftest import SCHEMA, prose
+
 
 def test_stages_keep_columns_and_take_effect(spark):
     d = "/root/testdata/sf0.001"
@@ -23,3 +27,11 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_near_duplicates_go_from_80_percent(spark):
+    w = prose(random.Random(4), 104).split(" ")
+    texts = [" ".join(w), " ".join([*w[:20], "edit", *w[21:80], "edit", *w[81:]])]  # 90 of 110 shingles of 5 words
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
+    assert [r.doc_id for r in stage(spark, docs, "").collect()] == [0]
