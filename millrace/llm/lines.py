@@ -1,10 +1,10 @@
 """Fuzzy line deduplication over the whole corpus, with DataFrame functions only.
 
-A line's set holds the hashes of its character shingles: its words are cut into pieces of at most 8
-characters, and each piece starts a shingle of 12 characters.  MinHash minima over the shingles are taken
-by one aggregation keyed by the line's 128-bit hash, which also collapses equal lines; bands of 3 of 36
-minima give candidates, confirmed by exact Jaccard on the full sets; distributed union-find groups the
-links and the first line of each component, by document and place, stays.
+A line's set holds the hashes of its character shingles in lower case: the 12 characters at every position,
+or the whole line if it is shorter.  MinHash minima over all shingles are taken by one aggregation keyed by
+the line's 128-bit hash, which also collapses equal lines; bands of 3 of 36 minima give candidates,
+confirmed by exact Jaccard on the full sets; distributed union-find groups the links and the first line of
+each component, by document and place, stays.
 
 A pair at similarity 0.8 is missed by the 12 bands with probability (1 - 0.8^3)^12 = 2e-4, at 0.9 with 2e-7.
 """
@@ -17,41 +17,45 @@ from pyspark.sql import functions as F
 from . import common
 from .common import materialize
 
-SHINGLE, PIECE, MINIMA, ROWS = 12, 8, 36, 3
+SHINGLE, MINIMA, ROWS = 12, 36, 3
 #: Two lines are linked from this Jaccard similarity on.
 PERCENT = 80
 #: Lines of fewer pieces are left alone: short lines repeat by chance.
 LEAST = 5
 #: Full sets are compared if so many minima agree: at the threshold that fails with a probability of 1e-6.
 LEAST_EQUAL = 16
-_PATTERN = rf"(?s)(?=([^\x20\x09-\x0D].{{0,{SHINGLE - 1}}}))[^\x20\x09-\x0D]{{1,{PIECE}}}[\x20\x09-\x0D]*"
+#: Places and bytes of the shingles of a line u in UTF-32, where every character has four bytes.
+_PLACES = f"sequence(0, greatest(octet_length(u) div 4 - {SHINGLE}, 0))"
+_AT = f"xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE}))"
 _LAST = 2**63 - 1
 
 
-def pieces(line: Column) -> Column:
-    """array<string>: the shingle of each piece of a line, in order, letter case ignored."""
-    return F.regexp_extract_all(F.lower(line), F.lit(_PATTERN), F.lit(1))
+def shingles(lines: DataFrame, *keys: str) -> DataFrame:
+    """keys and g array<long>, the distinct hashes of the character shingles of column line."""
+    wide = lines.select(*keys, F.encode("line", "UTF-32").alias("u"))
+    return wide.select(*keys, F.expr(f"array_distinct(transform({_PLACES}, i -> {_AT}))").alias("g"))
 
 
-def shingles(line: Column) -> Column:
-    """array<long>: the distinct hashes of a line's character shingles."""
-    return F.array_distinct(F.transform(pieces(line), lambda s: F.xxhash64(s)))
+def minima(lines: DataFrame) -> DataFrame:
+    """h1, h2 and the MINIMA minima m0, m1, ... of each distinct line: two from the halves of every hash."""
+    places = lines.select("h1", "h2", F.encode("line", "UTF-32").alias("u")).select("h1", "h2", "u", F.expr(f"explode({_PLACES})").alias("i"))
+    grams = places.select("h1", "h2", F.expr(_AT).alias("g")).select("h1", "h2", *[F.xxhash64("g", F.lit(k)).alias(f"x{k}") for k in range(MINIMA // 2)])
+    halves = [h for k in range(MINIMA // 2) for h in (F.shiftright(f"x{k}", 32), F.shiftright(F.shiftleft(f"x{k}", 32), 32))]
+    return grams.groupBy("h1", "h2").agg(*[F.min(h.cast("int")).alias(f"m{k}") for k, h in enumerate(halves)])
 
 
 def _lines(docs: DataFrame, *more: Column) -> DataFrame:
     """A row per line: did, th (the document's key), pos, line, and its 128-bit hash h1, h2."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("did"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    rows = rows.select("did", "th", "pos", F.trim("raw").alias("line")).filter(F.length("line") > LEAST)
+    rows = rows.select("did", "th", "pos", F.lower(F.trim("raw")).alias("line")).filter(F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]{1,8}")) >= LEAST)
     return rows.select("did", "th", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(places (did, th, pos, component) of all lines that take part, with a component shared by the lines
     to be merged; the links confirmed)."""
-    grams = _lines(docs).select("h1", "h2", pieces(F.col("line")).alias("p"))
-    grams = grams.select("h1", "h2", F.explode(F.when(F.size("p") >= LEAST, F.col("p"))).alias("p")).select("h1", "h2", F.xxhash64("p").alias("g"))
-    found = grams.groupBy("h1", "h2").agg(*[F.min(F.xxhash64("g", F.lit(k))).alias(f"m{k}") for k in range(MINIMA)])
+    found = minima(_lines(docs))
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(MINIMA // ROWS)]
     sketch = F.array(*[F.col(f"m{k}").bitwiseAND(F.lit(0x7FFF)).cast("short") for k in range(MINIMA)])
     # ids only have to be distinct, and are fixed by the table that is written here
@@ -65,7 +69,7 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def contents(ids: DataFrame) -> DataFrame:
         keys = found.join(ids, "id").select("id", "h1", "h2").hint("merge")
         sets = _lines(docs).select("h1", "h2", "line").join(keys, ["h1", "h2"])
-        return sets.dropDuplicates(["id"]).select("id", shingles(F.col("line")).alias("g"))
+        return shingles(sets.dropDuplicates(["id"]), "id")
 
     keys = found.select(F.explode("bands").alias("key"), "id")
     comp, links = common.link_components(found.select("id", "m"), keys, contents, PERCENT, can_link)

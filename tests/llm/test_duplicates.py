@@ -180,6 +180,24 @@ def test_line_links_from_80_percent_whatever_the_case(spark):
     assert got == {1: [], 2: [0], 3: [], 4: [0]}
 
 
+def test_line_links_are_those_of_shingles_at_every_position(spark):
+    rng = random.Random(3)
+
+    def run(n):
+        return "".join(rng.choices("一二三四五六七八九十百千万", k=n))
+
+    a, b, url = run(150), run(150), "https://" + "".join(rng.choices("abcdef0123456789", k=200))
+    long = [a, "初" + a, b, b[:75] + "中🎉" + b[75:], url, "x" + url, run(150)]
+    w = ["".join(rng.choices("abcdefgh", k=30)) for _ in range(10)]
+    # 41 of 298 positions touch the word that differs: below 0.8
+    long += [" ".join(w), " ".join([*w[:5], "".join(rng.choices("stuvwxyz", k=30)), *w[6:]])]
+    sets = {i: {t[k : k + 12] for k in range(len(t) - 11)} for i, t in enumerate(long)}
+    links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert links == [(0, 1), (2, 3), (4, 5)]
+    got = {r.doc_id: r.n_dropped for r in lines.line_report(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == {b for _, b in links}
+
+
 def test_line_dedup_is_native(docs, spark):
     from millrace.sources.files import explain
 
