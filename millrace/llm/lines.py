@@ -20,13 +20,14 @@ from .common import materialize
 SHINGLE, MINIMA, ROWS = 12, 36, 3
 #: Two lines are linked from this Jaccard similarity on.
 PERCENT = 80
-#: Lines of fewer pieces are left alone: short lines repeat by chance.
-LEAST = 5
+#: Lines take part from this many characters on: all but blank ones.
+LEAST = 1
 #: Full sets are compared if so many minima agree: at the threshold that fails with a probability of 1e-6.
 LEAST_EQUAL = 16
 #: Places and bytes of the shingles of a line u in UTF-32, where every character has four bytes.
 _PLACES = f"sequence(0, greatest(octet_length(u) div 4 - {SHINGLE}, 0))"
 _AT = f"xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE}))"
+_BLANKS = " \t\n\x0b\x0c\r"
 _LAST = 2**63 - 1
 
 
@@ -48,7 +49,7 @@ def _lines(docs: DataFrame, *more: Column) -> DataFrame:
     """A row per line: did, th (the document's key), pos, line, and its 128-bit hash h1, h2."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("did"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    rows = rows.select("did", "th", "pos", F.lower(F.trim("raw")).alias("line")).filter(F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]{1,8}")) >= LEAST)
+    rows = rows.select("did", "th", "pos", F.lower(F.trim("raw", F.lit(_BLANKS))).alias("line")).filter(F.length("line") >= LEAST)
     return rows.select("did", "th", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -93,7 +94,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped array<int> for every row of `docs`.
 
     Lines are cut at line feeds and numbered from 0; white space around a line is ignored.  A null or empty
-    text is one empty line; lines of fewer than LEAST pieces take no part.  Rows that agree in doc_id and
+    text is one empty line; blank lines take no part.  Rows that agree in doc_id and
     text are one document; null ids come last.  Further columns are ignored.
     """
     drops = dropped_lines(docs)

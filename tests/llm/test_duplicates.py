@@ -198,6 +198,12 @@ def test_line_links_are_those_of_shingles_at_every_position(spark):
     assert {i for i, n in got.items() if n} == {b for _, b in links}
 
 
+def test_short_lines_take_part_and_blank_ones_stay(spark):
+    rows = [(1, "two words\n\n}\r\nonly here"), (2, "Two words \r\n\r\n \t\n}\nfour words of it"), (3, "four words of it\n\n日本\n日本\n日本語")]
+    got = {r.doc_id: r.dropped for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0, 3], 3: [0, 3]}
+
+
 def test_line_dedup_is_native(docs, spark):
     from millrace.sources.files import explain
 
