@@ -74,7 +74,6 @@ def templates(spark: SparkSession, named=None) -> list[tuple[str, list[int]]]:
 def best_match(unit: Column, known: list[tuple[str, list[int]]], threshold: float = THRESHOLD) -> Column:
     """struct(score, license) of the most similar template, null below the threshold; ties to the later name."""
     low = min(threshold * len(g) / (2 - threshold) for _, g in known)
-    high = max(len(g) * (2 - threshold) / threshold for _, g in known)
 
     def compare(g: Column) -> Column:
         n, found = F.size(g), []
@@ -87,7 +86,7 @@ def best_match(unit: Column, known: list[tuple[str, list[int]]], threshold: floa
 
     # the number of blanks bounds the number of words from above only for single blanks, so the cheap bound is on length
     fits = F.length(unit) >= 2 * low
-    return F.when(fits, _with(words(unit), lambda w: F.when(F.size(w) - 1 >= low, F.when(F.size(w) <= 64 * (high + 1), _with(_bigrams(w), compare)))))
+    return F.when(fits, _with(words(unit), lambda w: F.when(F.size(w) - 1 >= low, _with(_bigrams(w), compare))))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, named=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -154,6 +154,12 @@ def test_licences_match_brute_force(spark):
         assert got[i].license == (max((s, n) for _, s, n in want)[1] if want else None)
 
 
+def test_a_long_line_that_repeats_a_notice_matches(spark):
+    df = spark.createDataFrame([(1, "All rights reserved. " * 1900)], "doc_id long, text string")
+    got = licenses.scan(df).first()
+    assert (got.license, got.score, got.n_matches) == ("Proprietary", 0.8, 1)
+
+
 def test_licence_edges(empty, odd):
     from millrace.sources.files import explain
 
