@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -18,10 +19,16 @@ _written: list[tuple[SparkSession, str]] = []
 
 # --------------------------------------------------------------------------- scratch tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  A temporary one only where the session names none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder.  A
+    temporary one only where neither is set and the master is a single local process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        found = spark._jsc.sc().getCheckpointDir()
+        named = found.get() if found.isDefined() else None
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "own" not in _own_dir:
         _own_dir["own"] = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return _own_dir["own"]
@@ -32,7 +39,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     lost executor costs a re-read, not a re-computation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # the driver's collector is what lets go of the shuffle files of earlier plans
     if not _written:
         atexit.register(_drop_all)
     _written.append((spark, path))
@@ -67,11 +75,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows to the session's number of shuffle partitions by hash of `keys`."""
-    return df.repartition(partitions(df.sparkSession), *keys)
-
-
 # --------------------------------------------------------------------------- numpy hashing
 _U = np.uint64
 _WS = np.zeros(256, bool)
@@ -182,12 +185,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.n
 
 
 # --------------------------------------------------------------------------- connected components
+def apart(column: str) -> Column:
+    """`column` itself, in a form whose exchange Spark does not take from an aggregation: both sides of a
+    join are then plain shuffles, so that adaptive execution can split a hot key."""
+    return F.col(column).bitwiseXOR(F.lit(0).cast("long"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every node of `edges(a, b)`; component is the smallest id reachable.
 
     Distributed union-find by alternating large-star and small-star: every round is an aggregation with
-    map-side minimum and a join, so no component is ever held by one task; rounds are cut by tables in
-    the shared folder.  The number of rounds is logarithmic in the longest path.
+    map-side minimum and a join whose hot keys (hubs) adaptive execution can split; rounds are cut by
+    tables in the shared folder.  The number of rounds is logarithmic in the longest path, and the last is
+    the first that leaves stars only.
     """
     now = materialize(
         edges.filter("a is not null and b is not null and a <> b")
@@ -195,24 +205,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "cc",
     )
-    before = None
     for _ in range(max_rounds):
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("low")).union(now.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("low").alias("low")).filter("up > 1 or (up > 0 and low > 0)").isEmpty():
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        new = materialize(small, "cc")
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u").select(apart("u").alias("y"), "m")
+        # an edge (u, v), u > v, becomes (u, smallest neighbour of v or v)
+        large = now.join(low, F.col("v") == F.col("y"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(apart("u").alias("y"), "m")
+        small = large.join(low, F.col("u") == F.col("y")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        new = materialize(small.distinct(), "cc")
         discard(now)
         now = new
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError(f"connected_components: no fixed point after {max_rounds} rounds")
     low = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
@@ -220,88 +225,105 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- linking within buckets
-def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, can_link) -> tuple[DataFrame, list[DataFrame]]:
-    """(components (id, component) of linked sets, confirmed links (a, b)) of the graph whose candidate
-    links are the pairs that share a bucket and whose links have 100 |A & B| >= percent |A | B|.
-
-    rows: (id, sketch columns ...), one row per distinct set; its size n is added from the full sets.  bands: (key, id), a row per
-    bucket that a set is in.  contents(ids) gives (id, g array<long>), the full sets.  can_link(a, b) is a
-    cheap necessary condition on the sketches of two rows, given by their column prefixes.
-
-    No all-pairs expansion.  First every set is compared to the smallest of the leaders (smallest ids) of
-    its buckets, one comparison per set, and the links found are closed; then to its other leaders, as far
-    as they are in another component by then.  What is left are buckets that hold several components and a
-    third member.  Of these only pairs across components are compared that pass `can_link` and share an
+#: Buckets of up to so many members are compared pair by pair.  Sizes the work only: larger ones are compared exactly too.
+SMALL = 64
+
+
+def array_overlap(pairs: DataFrame) -> DataFrame:
+    """a, b, i = |A & B|, u = |A | B| of `pairs(a, b, a_c, b_c)`, whose sets are arrays without repeats."""
+    both = pairs.select("a", "b", F.size(F.array_intersect("a_c", "b_c")).alias("i"), (F.size("a_c") + F.size("b_c")).alias("n"))
+    return both.select("a", "b", "i", (F.col("n") - F.col("i")).alias("u"))
+
+
+def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, can_link, overlap=array_overlap, as_sets=lambda c: c) -> DataFrame:
+    """(id, component) of the sets that are linked with any other, in the graph whose candidate links are
+    the pairs that share a bucket and whose links have 100 |A & B| >= percent |A | B|.
+
+    rows: (id, sketch columns ...), one row per distinct set.  bands: (key, id), a row per bucket that a set
+    is in.  contents(ids) gives (id, c), what a set is made of; overlap(pairs) gives the sizes of the
+    intersection and union of two of them, and as_sets(contents) turns c into the set as array<long>.
+    can_link(a, b) is a cheap necessary condition on the sketches of two rows, given by their column
+    prefixes.
+
+    No all-pairs expansion.  First every set is compared to the leaders (smallest ids) of its buckets, at
+    most one comparison per bucket, and the links found are closed.  What is left are buckets that hold
+    several components and a third member.  In those of up to SMALL members, a fixed number, pairs across
+    components that pass `can_link` are compared.  In larger ones only pairs are that moreover share an
     element among the first n - k + 1 of both, rarest first, k being what linked sets of their sizes have in
-    common at least: an exact condition, which near copies below the threshold mostly fail.  So a group of copies
-    costs about as many comparisons as it has members, and no candidate that could join two components is
-    left out.
+    common at least: an exact condition, which near copies below the threshold mostly fail.  One set per
+    element and component goes first, then all, and a pair is formed at the first element that it shares.
+    So a group of copies costs about as many comparisons as it has members, and no candidate that could
+    join two components is left out.
     """
     buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    star = materialize(bands.join(buckets, "key"), "star")
-    sets = materialize(contents(star.select("id").distinct()), "sets")
-    rows = materialize(rows.drop("n").join(sets.select("id", F.size("g").alias("n")).hint("merge"), "id"), "rows")
+    star = materialize(bands.join(buckets.select(apart("key").alias("of"), "leader", "size").hint("shuffle_hash"), F.col("key") == F.col("of")).drop("of"), "star")
+    members = star.select("id").distinct()
+    held = materialize(contents(members), "contents")
+    sketches = materialize(rows.join(members.hint("shuffle_hash"), "id", "left_semi"), "sketches")
 
     def side(df: DataFrame, s: str, *but: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(c if c in but else s if c == "id" else f"{s}_{c}") for c in df.columns]).hint("merge")
+        return df.select(*[F.col(c).alias(c if c in but else s if c == "id" else f"{s}_{c}") for c in df.columns])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side(sets, "b"), "b").join(side(sets, "a"), "a")
-        both = both.select("a", "b", F.size(F.array_intersect("a_g", "b_g")).alias("i"), (F.size("a_g") + F.size("b_g")).alias("n"))
-        return both.filter(f"i > 0 and 100 * i >= {percent} * (n - i)").select("a", "b")
+        both = pairs.join(side(held, "b"), "b").join(side(held, "a"), "a")
+        return overlap(both.select("a", "b", "a_c", "b_c")).filter(f"i > 0 and 100 * i >= {percent} * u").select("a", "b")
 
     pairs = star.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(side(rows, "b"), "b").join(side(rows, "a"), "a").filter(can_link("a", "b")).select("a", "b")
-    pairs = materialize(pairs, "pairs")
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = [materialize(confirmed(nearest), "links")]
-    comp = materialize(connected_components(links[0]), "comp")
+    pairs = pairs.join(side(sketches, "b"), "b").join(side(sketches, "a"), "a").filter(can_link("a", "b")).select("a", "b")
+    tested = [materialize(pairs, "pairs")]
+    comp = materialize(connected_components(confirmed(tested[0])), "comp")
 
     def close(more: DataFrame) -> None:
         nonlocal comp
-        links.append(materialize(confirmed(more), "links"))
-        if not links[-1].isEmpty():
+        links = materialize(confirmed(more), "links")
+        if not links.isEmpty():
             old, stars = comp, comp.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-            comp = materialize(connected_components(stars.union(links[-1])), "comp")
+            comp = materialize(connected_components(stars.union(links)), "comp")
             discard(old)
-
-    rest = pairs.join(nearest.withColumn("seen", F.lit(1)), ["a", "b"], "left_anti")
-    for s in ("a", "b"):
-        rest = rest.join(comp.select(F.col("id").alias(s), F.col("component").alias(f"{s}_comp")), s, "left")
-    close(rest.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b"))
-
-    third = star.filter("size > 2").join(comp.withColumnRenamed("component", "comp"), "id", "left")
-    third = third.withColumn("comp", F.coalesce("comp", "id"))
-    mixed = third.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    third = third.join(mixed, "key", "left_semi").select("id", "comp").distinct()
-    third = materialize(third.join(rows, "id"), "third")
-    tokens = sets.join(third.select("id", "n"), "id").select("id", "n", F.explode("g").alias("token"))
-    rarity = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    # elements of one set only come first in every order and meet no other set: they just use up the prefix
-    ranked = tokens.join(rarity, "token", "left").withColumn("r", F.expr("row_number() over (partition by id order by coalesce(df, 1), token)"))
-    prefix = ranked.filter(f"df > 1 and r <= n - ceil(n * {percent} / 100D - 1e-9) + 1").select("id", "token", "r")
-    prefix = materialize(prefix.join(third.drop("comp"), "id"), "prefix")
-    least = f"ceil({percent} * (a_n + b_n) / {100 + percent}D - 1e-9)"  # elements that two linked sets share
-    tested = [pairs]
-    for limit in (1, 8, None):  # first one set per element and component, then more, then all: links merge components early
-        now = prefix.join(comp.withColumnRenamed("component", "now"), "id", "left").withColumn("comp", F.coalesce("now", "id")).drop("now")
-        lively = now.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
-        now = materialize(now.join(lively, "token", "left_semi"), "lively")
-        if now.isEmpty():
-            discard(now)
-            break
-        few = now
-        if limit:
-            few = now.withColumn("k", F.expr("row_number() over (partition by token, comp order by id)")).filter(F.col("k") <= limit).drop("k")
-        cross = side(few, "a", "token").join(side(few, "b", "token"), "token").filter("a < b and a_comp <> b_comp")
-        cross = cross.filter(f"a_r <= a_n - {least} + 1 and b_r <= b_n - {least} + 1").filter(can_link("a", "b")).select("a", "b").distinct()
-        before = tested[0]
-        for t in tested[1:]:
-            before = before.union(t)
-        cross = cross.join(before, ["a", "b"], "left_anti")
-        tested.append(materialize(cross, "cross"))
-        close(tested[-1])
-        discard(now)
-    for x in (star, third, sets, rows, prefix, *tested):
+        discard(links)
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        for t in tested:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        tested.append(materialize(pairs, "cross"))
+        return tested[-1]
+
+    def now_in(df: DataFrame) -> DataFrame:
+        of = comp.select(F.col("id").alias("of"), F.col("component").alias("now"))
+        return df.join(of, F.col("id") == F.col("of"), "left").withColumn("comp", F.coalesce("now", "id")).drop("of", "now")
+
+    def mixed(df: DataFrame, key: str) -> DataFrame:
+        """Rows of `df` (key, id, ...) with comp, of the keys that lie in several components."""
+        df = now_in(df)
+        some = df.groupBy(key).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select(apart(key).alias("of"))
+        return materialize(df.join(some.hint("shuffle_hash"), F.col(key) == F.col("of"), "left_semi"), "mixed")
+
+    third = mixed(star.filter("size > 2").select("key", "id", "size"), "key")
+    small = third.filter(f"size <= {SMALL}").join(sketches, "id")
+    cross = side(small, "a", "key").join(side(small, "b", "key"), "key").filter("a < b and a_comp <> b_comp").filter(can_link("a", "b"))
+    close(untested(cross.select("a", "b").distinct()))
+    large = mixed(third.filter(f"size > {SMALL}").select("key", "id"), "key")
+    discard(third)
+    third = large.select("id").distinct()
+    if not large.isEmpty():
+        sets = as_sets(held.join(third, "id").select("id", "c"))
+        tokens = sets.select("id", F.size("c").alias("n"), F.explode("c").alias("token"))
+        # elements of one set only come first in every order and meet no other set: they just use up the prefix
+        ranked = tokens.withColumn("df", F.expr("count(*) over (partition by token)"))
+        ranked = ranked.withColumn("r", F.expr("row_number() over (partition by id order by df, token)"))
+        cut = ranked.filter(f"df > 1 and r <= n - ceil(n * {percent} / 100D - 1e-9) + 1").select("id", "token", "r", "n")
+        heads = cut.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("r", "token"))).alias("p"))
+        heads = materialize(sketches.drop("n").join(heads, "id"), "heads")
+        least = f"ceil({percent} * (a_n + b_n) / {100 + percent}D - 1e-9)"  # elements that two linked sets share
+        for limit in (1, None):  # first one set per element and component, then all: links merge components early
+            now = now_in(heads).withColumn("x", F.explode("p")).withColumns({"r": F.col("x.r"), "token": F.col("x.token"), "p": F.col("p.token")}).drop("x")
+            now = now.withColumns({"c0": F.expr("min(comp) over (partition by token)"), "c1": F.expr("max(comp) over (partition by token)")}).filter("c0 <> c1").drop("c0", "c1")
+            if limit:
+                now = now.withColumn("k", F.expr("row_number() over (partition by token, comp order by id)")).filter(f"k <= {limit}").drop("k")
+            cross = side(now, "a", "token").join(side(now, "b", "token"), "token").filter("a < b and a_comp <> b_comp")
+            cross = cross.filter(f"a_r <= a_n - {least} + 1 and b_r <= b_n - {least} + 1").filter(can_link("a", "b"))
+            close(untested(cross.filter("element_at(array_intersect(a_p, b_p), 1) = token").select("a", "b").distinct()))
+        discard(heads)
+    for x in (star, large, held, sketches, *tested):
         discard(x)
-    return comp, links
+    return comp

@@ -6,8 +6,9 @@ per position; a level j is only looked at while some position has no value below
 Signatures are cut into bands; sets that share a band are candidates, confirmed on the full sets with
 integer arithmetic; the links are grouped by distributed union-find.
 
-With m = 216 positions in 36 bands of 6, a pair at similarity 0.85 is missed with probability
-(1 - 0.85^6)^36 = 4e-8 (SuperMinHash's negative correlation only lowers the variance).
+A signature has m = 216 positions; the rows of a band follow from the threshold, so that a pair at it is
+missed with a probability of 1e-4 at most: at 0.85, 36 bands of 6 miss (1 - 0.85^6)^36 = 4e-8 (SuperMinHash's
+negative correlation only lowers the variance).
 """
 
 from __future__ import annotations
@@ -19,16 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import _powers, _U, chunks, materialize, mix64, shingle_sets, text_buffers
+from .common import _U, _powers, apart, chunks, materialize, mix64, shingle_sets, text_buffers
 
-BANDS, ROWS = 36, 6
-M = BANDS * ROWS
+M = 216
 SHINGLE = 5
 #: A link has 100 * |A & B| >= PERCENT * |A | B|.
 PERCENT = 85
-#: Pairs are compared on full sets if at most so many of the M one-bit ranks differ.  At similarity 0.85
-#: a bit differs with probability 0.075; 40 of 216 lies 6 standard deviations above the mean.
-MAX_BITS = 40
 _GAMMA = _U(0x9E3779B97F4A7C15)
 
 
@@ -84,8 +81,20 @@ def _levels(sets: list[np.ndarray], where: np.ndarray, out: np.ndarray, m: int)
     out[where] = sig
 
 
-def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    coef = _powers(rows + 1)[1 : rows + 1]
+def band_rows(percent: int) -> int:
+    """The most rows of a band with which a pair at the threshold is missed with at most 1e-4."""
+    return next((r for r in (6, 4, 3, 2) if (1 - (percent / 100) ** r) ** (M // r) <= 1e-4), 1)
+
+
+def most_bits(percent: int) -> float:
+    """Pairs are compared on full sets if at most so many of the M one-bit ranks differ: at the threshold a
+    bit differs with probability (1 - percent / 100) / 2; this lies six standard deviations above the mean."""
+    p = (1 - percent / 100) / 2
+    return M * p + 6 * (M * p * (1 - p)) ** 0.5 + 2
+
+
+def band_keys(sig: np.ndarray, rows: int = 6) -> np.ndarray:
+    bands, coef = M // rows, _powers(rows + 1)[1 : rows + 1]
     h = (mix64(sig.copy()).reshape(len(sig), bands, rows) * coef).sum(axis=2, dtype=np.uint64)
     return mix64(h + _GAMMA * np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
 
@@ -97,33 +106,35 @@ def one_bit(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-SIGNED = "id long, n_shingles long, digest string, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+SIGNED = "id long, th long, n_shingles long, digest string, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
-def _sign(batches, signature=super_minhash):
+def _sign(batches, signature=super_minhash, rows: int = 6):
     import pyarrow as pa
 
+    bands = M // rows
     for batch in batches:
-        ids, text = batch.column(0), batch.column(1)
+        ids, th, text = batch.columns
         data, offsets = text_buffers(text)
         for i, j in chunks(offsets, 2 << 20):
             sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
             full = [k for k, s in enumerate(sets) if len(s)]
             sig = signature([sets[k] for k in full])
-            keys, words = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), 4), np.int64)
+            keys, words = np.zeros((len(sets), bands), np.int64), np.zeros((len(sets), 4), np.int64)
             if full:
-                keys[full], words[full] = band_keys(sig), one_bit(sig)
+                keys[full], words[full] = band_keys(sig, rows), one_bit(sig)
             some = np.array([len(s) > 0 for s in sets])
-            ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(i, j - i).cast(pa.int64()),
+                    ids.slice(i, j - i),
+                    th.slice(i, j - i),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets], pa.string()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1))),
                     *[pa.array(words[:, k]) for k in range(4)],
                 ],
-                names=["id", "n_shingles", "digest", "bands", "s0", "s1", "s2", "s3"],
+                names=["id", "th", "n_shingles", "digest", "bands", "s0", "s1", "s2", "s3"],
             )
 
 
@@ -146,7 +157,7 @@ def bits_apart(a: str, b: str):
 def can_link(a: str, b: str, percent: int = PERCENT):
     """Necessary for a link: sizes within the threshold (exact) and few one-bit ranks apart."""
     small, large = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
-    return (100 * small >= percent * large) & (bits_apart(a, b) <= MAX_BITS + 3 * (PERCENT - percent))
+    return (100 * small >= percent * large) & (bits_apart(a, b) <= most_bits(percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, signature=super_minhash) -> DataFrame:
@@ -154,39 +165,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Defined cases: a null or wordless text has n_shingles 0, is linked with nothing and is kept; rows with
     a null id are returned with component_id null and kept true and take no part in linking; rows that
-    share an id count as one document; repeated texts form one class, represented by its smallest id.
-    Copies are collapsed to one representative per distinct set before any candidate is formed.
+    share an id are documents of their own, each linked by its own text; repeated rows agree.
+    Copies are collapsed to one class per distinct set before any candidate is formed.
     """
-    pairs_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(pairs_in.mapInArrow(lambda batches: _sign(batches, signature), SIGNED), "signed")
-    classes = (
-        signed.filter("id is not null and n_shingles > 0")
-        .groupBy("digest", "n_shingles")
-        .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first(F.struct("bands", "s0", "s1", "s2", "s3")).alias("x"))
+    return _components(docs, id_col, text_col, percent, signature).select(
+        F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept")
     )
-    reps = materialize(classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "digest", "x.*"), "reps")
-    rows = reps.select("id", "n", "s0", "s1", "s2", "s3")
-    bands = reps.select(F.explode("bands").alias("key"), "id")
 
-    def contents(ids: DataFrame) -> DataFrame:
-        # rows that share an id are told apart by nothing here: the least text stands for them
-        texts = pairs_in.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        return texts.mapInArrow(_sets, "id long, g array<long>")
-
-    comp, _ = common.link_components(rows, bands, contents, percent, lambda a, b: can_link(a, b, percent))
-    of_class = classes_to_components(reps.select("digest", "id"), comp)
-    out = signed.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(
-        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
-    )
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, signature=super_minhash) -> DataFrame:
+    """id, th (hash of the text), n_shingles, component of every row of `docs`."""
+    pairs_in = _keyed(docs, id_col, text_col)
+    rows = band_rows(percent)
+    signed = materialize(pairs_in.mapInArrow(lambda batches: _sign(batches, signature, rows), SIGNED), "signed")
+    some = signed.filter("id is not null and n_shingles > 0")
+    # any row of a class has its set: the text of the one with the smallest id stands for it
+    classes = some.groupBy("digest", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("th", "id").alias("th"), F.count("*").alias("copies"), F.first(F.struct("bands", "s0", "s1", "s2", "s3")).alias("x"))
+    reps = materialize(classes.select(F.monotonically_increasing_id().alias("id"), F.col("n_shingles").alias("n"), "rep", "th", "copies", "digest", "x.*"), "reps")
 
-def classes_to_components(reps: DataFrame, comp: DataFrame) -> DataFrame:
-    return reps.join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    def contents(ids: DataFrame) -> DataFrame:
+        places = reps.join(ids, "id", "left_semi").select(F.col("id").alias("class"), F.col("rep").alias("of"), F.col("th").alias("key"))
+        texts = pairs_in.join(places, (F.col("id") == F.col("of")) & (F.col("th") == F.col("key"))).select(F.col("class").alias("id"), "text")
+        texts = texts.groupBy("id").agg(F.min("text").alias("text"))  # repeated rows
+        return texts.mapInArrow(_sets, "id long, c array<long>")
+
+    bands = reps.select(F.explode("bands").alias("key"), "id")
+    comp = common.link_components(reps.select("id", "n", "s0", "s1", "s2", "s3"), bands, contents, percent, lambda a, b: can_link(a, b, percent))
+    # classes of one row without links, and rows without words, need no second look
+    of_class = reps.select("id", "rep", "copies", "digest").join(comp, "id", "left").filter("component is not null or copies > 1")
+    of_class = of_class.select("digest", "rep", F.coalesce("component", "id").alias("component"))
+    smallest = of_class.groupBy("component").agg(F.min("rep").alias("smallest")).select(apart("component").alias("of"), "smallest")
+    of_class = of_class.join(smallest, F.col("component") == F.col("of")).select(F.concat("digest", F.lit("")).alias("of"), "smallest")
+    thin = signed.select("id", "th", "n_shingles", "digest")
+    found = thin.filter("digest is not null and id is not null").join(of_class, F.col("digest") == F.col("of"), "left").select("id", "th", "n_shingles", F.coalesce("smallest", "id").alias("component"))
+    return found.union(thin.filter("digest is null or id is null").select("id", "th", "n_shingles", F.col("id").alias("component")))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`docs` without the documents that are near copies, from `percent` on, of one with a smaller doc_id."""
-    gone = near_duplicates(docs, percent=percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` without the rows whose text is a near copy, from `percent` on, of that of a smaller doc_id.
+    Rows with null ids, and texts without words, stay."""
+    gone = _components(docs, "doc_id", "text", percent).filter("component <> id").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return keyed.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_th")), "left_anti").select(*docs.columns)
