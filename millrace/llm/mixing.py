@@ -168,20 +168,26 @@ def _cut(batches):
     """Texts cut to the taken words: `runs` holds (first word, words) of neighbouring blocks."""
     import re
 
+    import pyarrow as pa
+
     word = re.compile(rb"[^\x20\x09-\x0D]+")
     for batch in batches:
-        texts = []
-        for text, runs in zip(batch["text"], batch["runs"], strict=True):
-            raw = text.encode()
-            starts = [m.start() for m in word.finditer(raw)]
-            ends = [*starts[1:], len(raw)]
-            runs = sorted((int(r["from_word"]), int(r["words"])) for r in runs)
-            if runs and sum(n for _, n in runs) == len(starts):
-                texts.append(text)
-                continue
-            texts.append(b"".join(raw[starts[a] : ends[a + n - 1]] for a, n in runs).decode())
-        batch["text"] = texts
-        yield batch.drop(columns=["runs"])
+        at = batch.schema.get_field_index("text")
+        for i in range(0, batch.num_rows, 256):  # few texts are held twice at a time
+            part, texts = batch.slice(i, 256), []
+            for text, runs in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
+                raw = text.encode()
+                starts = [m.start() for m in word.finditer(raw)]
+                ends = [*starts[1:], len(raw)]
+                runs = sorted((int(r["from_word"]), int(r["words"])) for r in runs)
+                if runs and sum(n for _, n in runs) == len(starts):
+                    texts.append(text)
+                    continue
+                texts.append(b"".join(raw[starts[a] : ends[a + n - 1]] for a, n in runs).decode())
+            columns = part.columns[:-1]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+        pa.default_memory_pool().release_unused()
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -195,7 +201,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     full = rows.withColumn("_fp2", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     on = full["doc_id"].eqNullSafe(keyed["_id"]) & full["source"].eqNullSafe(keyed["_source"]) & (full["_fp2"] == keyed["_fp"])
     got = full.join(keyed, on).select(*[full[c] for c in names], "runs")
-    out = got.mapInPandas(_cut, docs.schema)
+    out = got.mapInArrow(_cut, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

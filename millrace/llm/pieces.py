@@ -18,15 +18,16 @@ Characters outside the vocabulary, and a literal U+2581, become byte pieces, so
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _U, _powers, chunks, mix64, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, SHARPNESS = 20240501, 1.0
-#: Bytes of text whose lattices are held at once by a worker (about 60 times as much memory).
-CHUNK = 3 << 19
+#: Bytes of text whose lattices are held at once by a worker (about 60 times as much memory).  Longer texts
+#: are cut between words; only a single word, a run without blank or line feed, is never cut.
+CHUNK = 1 << 19
 _SPACE, _LF = 32, 10
 
 
@@ -61,29 +62,61 @@ class Vocabulary:
         return Vocabulary(pieces, scores.tolist() + [least] * len(extra), plain + [byte_ids[b] for b in extra], byte_ids, n)
 
 
+class Trie:
+    """A byte trie as an open-addressed table of its edges: (state, byte) to state, 0 being both the root and none."""
+
+    def __init__(self, pieces: list[bytes]):
+        size = np.array([len(p) for p in pieces])
+        text = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint32)
+        at = np.cumsum(size) - size
+        state, edges, states = np.zeros(len(pieces), np.uint32), [], 1
+        for depth in range(int(size.max())):
+            on = np.flatnonzero(size > depth)
+            key, which = np.unique(state[on] * np.uint32(256) + text[at[on] + depth], return_inverse=True)
+            edges.append(key)
+            state[on] = (states + which).astype(np.uint32)
+            states += len(key)
+        self.piece = np.full(states, -1, np.int32)
+        self.piece[state[::-1]] = np.arange(len(pieces), dtype=np.int32)[::-1]
+        keys = np.concatenate(edges)
+        self.bits = int(4 * len(keys)).bit_length()
+        self.key, self.to = np.zeros(1 << self.bits, np.uint32), np.zeros(1 << self.bits, np.uint32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):  # the first of those that want a free slot takes it, the others try the next
+            free = np.flatnonzero(self.key[slot[todo]] == 0)
+            at_, one = np.unique(slot[todo[free]], return_index=True)
+            won = todo[free[one]]
+            self.key[at_], self.to[at_] = keys[won] + np.uint32(1), (won + 1).astype(np.uint32)
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        key = state * np.uint32(256) + byte
+        slot = self._slot(key)
+        key += np.uint32(1)
+        have, out = self.key[slot], self.to[slot]
+        out = np.where(have == key, out, np.uint32(0))
+        open_ = np.flatnonzero((have != key) & (have != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            have = self.key[slot[open_]]
+            hit = have == key[open_]
+            out[open_[hit]] = self.to[slot[open_[hit]]]
+            open_ = open_[~hit & (have != 0)]
+        return out
+
+
 class Coder:
-    """Encoder and decoder of one vocabulary; holds a byte trie as a dense transition table."""
+    """Encoder and decoder of one vocabulary: a few arrays, about 4 MB, built once and sent to the workers."""
 
     def __init__(self, v: Vocabulary):
         if any(b" " in p.lstrip(b" ") or (b"\n" in p and p != b"\n") for p in v.pieces):
             raise ValueError("a piece crosses a word boundary")
-        children: list[dict[int, int]] = [{}]
-        piece: list[int] = [-1]
-        for k, p in enumerate(v.pieces):
-            s = 0
-            for b in p:
-                t = children[s].get(b)
-                if t is None:
-                    t = children[s][b] = len(children)
-                    children.append({})
-                    piece.append(-1)
-                s = t
-            piece[s] = k
-        self.next = np.zeros((len(children), 256), np.uint16 if len(children) < 65536 else np.int32)
-        for s, c in enumerate(children):
-            if c:
-                self.next[s, list(c)] = list(c.values())
-        self.piece, self.logp, self.ids = np.array(piece, np.int32), np.array(v.logp), np.array(v.ids, np.int32)
+        self.trie = Trie(v.pieces)
+        self.piece, self.logp, self.ids = self.trie.piece, np.array(v.logp), np.array(v.ids, np.int32)
         self.byte_ids, self.byte_logp = np.array(v.byte_ids, np.int32), float(min(v.logp)) - 1.0
         self.longest = max(map(len, v.pieces))
         raw = [b""] * v.size
@@ -98,9 +131,28 @@ class Coder:
     # ------------------------------------------------------------------ encoding
     def encode(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text) of the texts data[offsets[i]:offsets[i+1]]."""
-        text, at = prefixed(data, offsets)
+        return self.encode_words(*prefixed(data, offsets), keys, seed)[:2]
+
+    def encode_long(self, data: np.ndarray, key: np.ndarray, seed: int) -> tuple[np.ndarray, bool]:
+        """(ids, whether they decode to the text) of one text, a bounded number of words at a time."""
+        feed, space = data == _LF, data == _SPACE
+        cut = feed.copy()
+        cut[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
+        cuts, ids, same, a, words = np.append(np.flatnonzero(cut), len(data)), [], True, 0, 0
+        while a < len(data):
+            k = max(int(np.searchsorted(cuts, a + CHUNK, side="right")) - 1, int(np.searchsorted(cuts, a, side="right")))
+            b = int(cuts[k])
+            part = data[a:b] if a else np.concatenate([[np.uint8(_SPACE)], data[a:b]])
+            got, _, n = self.encode_words(part, np.array([0, len(part)]), key, seed, words)
+            ids.append(got)
+            same, words, a = same and np.array_equal(self.spell(got), part), words + n, b
+        return np.concatenate(ids), same
+
+    def encode_words(self, text: np.ndarray, at: np.ndarray, keys: np.ndarray, seed: int, before: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, number of ids of each text, words) of texts that have their leading space; `before` counts
+        the words of the first text that were coded already."""
         if len(text) == 0:
-            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64), 0
         space, feed = text == _SPACE, text == _LF
         start = feed.copy()
         start[0] = True
@@ -120,18 +172,18 @@ class Coder:
 
         first = np.searchsorted(starts, at)
         of = np.repeat(np.arange(len(at) - 1), np.diff(first))
-        ordinal = np.arange(len(starts)) - first[of]
+        ordinal = np.arange(len(starts)) - first[of] + before * (of == 0)
         stream = mix64(mix64(keys[of] + _U((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) + ordinal.astype(np.uint64) * _U(0xD1B54A32D192ED03))
-        return self._sample(edges, (u_at + u_len + np.arange(len(u_at)))[word], stream, first, words)
+        return *self._sample(edges, (u_at + u_len + np.arange(len(u_at)))[word], stream, first, words), len(starts)
 
     def _lattice(self, words: np.ndarray, u_at: np.ndarray, u_len: np.ndarray):
         """Edges by end node, with each node's backward probabilities.  Nodes: byte boundaries of words."""
         n, token = len(words), np.repeat(np.arange(len(u_at), dtype=np.int32), u_len)
         end_of = (u_at + u_len).astype(np.int32)[token]
         begins = np.flatnonzero((words & 0xC0) != 0x80).astype(np.int32)
-        nxt, piece = self.next, self.piece
+        step, piece = self.trie.step, self.piece
         from_, to, what = [], [], []
-        p, state, depth = begins, nxt[0, words[begins]], 1
+        p, state, depth = begins, step(np.zeros(len(begins), np.uint32), words[begins]), 1
         while len(p):
             alive = state != 0
             p, state = p[alive], state[alive]
@@ -142,7 +194,7 @@ class Coder:
             what.append(k[hit])
             more = p + depth < end_of[p]
             p, state = p[more], state[more]
-            state = nxt[state, words[p + depth]]
+            state = step(state, words[p + depth])
             depth += 1
         size = np.diff(np.append(begins, n))  # bytes of each character
         single = np.zeros(n + 1, bool)
@@ -220,11 +272,16 @@ class Coder:
         return ids, np.diff(ends)
 
     # ------------------------------------------------------------------ decoding
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the pieces one after the other."""
+        size = self.raw_len[ids]
+        return self.raw[np.arange(int(size.sum())) + np.repeat(self.raw_at[ids] - (np.cumsum(size) - size), size)]
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets) of the texts that the ids of each row spell, without the leading space."""
         size = self.raw_len[ids]
         at = np.cumsum(size) - size
-        out = self.raw[np.arange(int(size.sum())) + np.repeat(self.raw_at[ids] - at, size)]
+        out = self.spell(ids)
         ends = np.concatenate([[0], np.cumsum(counts)])
         offsets = np.append(at, len(out))[ends]
         lead = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -243,56 +300,41 @@ def prefixed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text, offsets + np.concatenate([[0], add])
 
 
-_coders: dict[int, Coder] = {}
-
-
-def _coder(shared) -> Coder:
-    """One coder per worker process and broadcast vocabulary."""
-    if shared.id not in _coders:
-        _coders.clear()
-        _coders[shared.id] = Coder(shared.value)
-    return _coders[shared.id]
-
-
-class _Shared:
-    """A vocabulary sent to the workers once (about 0.7 MB, bounded by the vocabulary)."""
-
-    def __init__(self, spark: SparkSession, v: Vocabulary):
-        self.cast = spark.sparkContext.broadcast(v)
-        self.id = id(self.cast)
-
-    @property
-    def value(self) -> Vocabulary:
-        return self.cast.value
-
-
 def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_pieces long, ids array<int>, lossless boolean) for every row of `docs`.
 
     lossless says that decoding the ids gave back exactly the text.  A null or empty text has no pieces;
     rows with a null id draw from one fixed key; repeated rows are encoded alike; further columns are ignored.
     """
-    shared = _Shared(docs.sparkSession, Vocabulary.load(model))
+    shared = docs.sparkSession.sparkContext.broadcast(Coder(Vocabulary.load(model)))  # bounded by the vocabulary
 
     def run(batches):
         import pyarrow as pa
 
-        coder = _coder(shared)
+        coder = shared.value
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             keys = mix64(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             for i, j in chunks(offsets, CHUNK):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                if j - i == 1 and len(part) > CHUNK:
+                    ids, whole = coder.encode_long(part, keys[i:j], seed)
+                    n, same = np.array([len(ids)]), np.array([whole])
+                    yield coded_rows(batch, i, j, n, ids, same)
+                    continue
                 ids, n = coder.encode(part, at, keys[i:j], seed)
                 back, b_at = coder.decode(ids, n)
                 same = np.array([x == y for x, y in zip(np.diff(b_at), np.diff(at), strict=True)], bool)
                 if not (same.all() and np.array_equal(back, part)):
                     same &= np.array([np.array_equal(back[b_at[q] : b_at[q + 1]], part[at[q] : at[q + 1]]) for q in range(j - i)], bool)
-                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(same)],
-                    names=["id", "n_pieces", "ids", "lossless"],
-                )
+                yield coded_rows(batch, i, j, n, ids, same)
+            pa.default_memory_pool().release_unused()
+
+    def coded_rows(batch, i, j, n, ids, same):
+        import pyarrow as pa
+
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(same)], names=["id", "n_pieces", "ids", "lossless"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_pieces long, ids array<int>, lossless boolean").withColumnRenamed("id", id_col)
@@ -300,12 +342,12 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, id_col: str =
 
 def decode(coded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, text) for every row of `coded`; null or empty ids give an empty text, null ids within count as none."""
-    shared = _Shared(coded.sparkSession, Vocabulary.load(model))
+    shared = coded.sparkSession.sparkContext.broadcast(Coder(Vocabulary.load(model)))
 
     def run(batches):
         import pandas as pd
 
-        coder = _coder(shared)
+        coder = shared.value
         for batch in batches:
             lists = [np.zeros(0, np.int32) if x is None else np.array([v for v in x if v == v and v is not None], np.int32) for x in batch["ids"]]
             n = np.array([len(x) for x in lists], np.int64)

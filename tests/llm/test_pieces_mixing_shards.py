@@ -148,3 +148,16 @@ def test_shards(docs, corpus):
 def test_shard_edges(empty, odd):
     assert sharding.shard(empty).count() == 0
     assert sharding.shard(odd).count() == odd.count()
+
+
+def test_a_very_long_text_is_coded_in_bounded_pieces(spark):
+    """50 MB in one text: the same pieces as when it is coded at once, and lossless."""
+    coder = pieces.Coder(pieces.Vocabulary.load())
+    text = ("Lorem ipsum  dolor\nsit ämet 執 ▁ " * 40_000).encode()
+    data, key = np.frombuffer(text, np.uint8), np.array([7], np.uint64)
+    assert len(data) > 2 * pieces.CHUNK
+    ids, same = coder.encode_long(data, key, 3)
+    assert same and ids.tolist() == coder.encode(data, np.array([0, len(data)]), key, 3)[0].tolist()
+    big = "word and more words \n" * 2_500_000
+    got = pieces.encode(spark.createDataFrame([(1, big), (None, "x" * 10), (2, None)], "doc_id long, text string")).select("doc_id", "lossless", "n_pieces").collect()
+    assert sorted((str(r.doc_id), r.lossless, r.n_pieces > 0) for r in got) == [("1", True, True), ("2", True, False), ("None", True, True)]
