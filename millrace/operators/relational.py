@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # --- DML as DataFrame rewrites
@@ -36,11 +39,16 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 def merge(target: DataFrame, source: DataFrame, keys: list[str], matched_update: dict[str, Column] | None = None, matched_delete: Column | None = None, insert_unmatched: bool = True) -> DataFrame:
     """MERGE: matched rows are updated or deleted, unmatched source rows inserted.
 
-    Expressions use the aliases t and s.  One full outer join on the keys."""
+    Expressions use the aliases t and s.  One full outer join on the keys.  As the standard has it, a target
+    row that several source rows match is an error, raised when the result is computed."""
+    per_key = Window.partitionBy(*keys)
+    source = source.withColumn("_n", F.count("*").over(per_key))
     t, s = target.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", F.lit(True)).alias("s")
     on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
     both = F.col("t._t").isNotNull() & F.col("s._s").isNotNull()
     j = t.join(s, on, "full")
+    # the check is part of a filter that no optimisation can drop
+    j = j.filter(F.when(both & (F.col("s._n") > 1), F.raise_error(F.lit("MERGE: several source rows match one target row")).cast("boolean")).otherwise(F.lit(True)))
     if matched_delete is not None:
         j = j.filter(~F.coalesce(both & matched_delete, F.lit(False)))
     if not insert_unmatched:
@@ -61,30 +69,52 @@ def as_of(versions: DataFrame, txn: int) -> DataFrame:
     return versions.filter((F.col("xmin") <= txn) & (F.col("xmax").isNull() | (F.col("xmax") > txn))).drop("xmin", "xmax")
 
 
-def with_sequence(df: DataFrame, name: str, order: list[str], start: int = 1, step: int = 1) -> DataFrame:
-    """Sequence values without gaps in `order`: ranges are numbered in parallel, then shifted by their counts."""
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    part = part.withColumn("_r", F.col("_m") - F.col("_p").cast("long") * F.lit(1 << 33))
-    rows = part.groupBy("_p").count().collect()  # one row per partition
-    total, base = 0, {}
-    for r in sorted(rows, key=lambda r: r._p):
-        base[r._p] = total
-        total += r["count"]
-    if not base:
+def with_sequence(df: DataFrame, name: str, order: list[str], start: int = 1, step: int = 1, ranges: int = 0) -> DataFrame:
+    """Sequence values without gaps in `order`: rows are numbered within ranges, then shifted by the ranges' counts.
+
+    The ranges are explicit: their bounds are approximate quantiles of the first column of `order`, so that
+    counting and numbering agree however Spark deals the rows.  Rows equal in that column share a range; rows
+    equal in all of `order` are numbered in any order.  Nulls come first.  `ranges` defaults to the shuffle partitions."""
+    spark, first = df.sparkSession, order[0]
+    n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = df.schema[first].dataType
+    key = F.col(first)
+    if isinstance(kind, T.NumericType):
+        at = key.cast("double")
+    elif isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
+        at = key.cast("timestamp").cast("double")
+    else:  # the first bytes of the text, as a number that grows with it
+        at = F.conv(F.rpad(F.hex(F.substring(key.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    bounds = df.agg(F.percentile_approx(at, [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0] or []
+    bounds = sorted({b for b in bounds if b == b})
+    part = F.coalesce(F.aggregate(F.lit(bounds).cast("array<double>"), F.lit(0), lambda s, b: s + F.when(at > b, 1).otherwise(0)), F.lit(-1)) if len(bounds) <= 64 else F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: at > b)), F.lit(-1))
+    part = F.when(key.isNull(), -1).otherwise(part)
+    rows = df.withColumn("_p", part)
+    counts = {r._p: r["count"] for r in rows.groupBy("_p").count().collect()}  # a row per range
+    if not counts:
         return df.withColumn(name, F.lit(None).cast("long"))
-    shift = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("_p"))
-    return part.withColumn(name, F.lit(start) + (F.col("_r") + shift) * step).drop("_p", "_m", "_r")
+    total, base = 0, []
+    for p in sorted(counts):
+        base += [F.lit(p), F.lit(total)]
+        total += counts[p]
+    number = F.row_number().over(Window.partitionBy("_p").orderBy(*order)).cast("long") - 1
+    return rows.withColumn(name, F.lit(start) + (number + F.element_at(F.create_map(*base), F.col("_p"))) * step).drop("_p")
 
 
 # --- joins that have no operator of their own
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], time: str, keep: list[str], prefix: str = "r_") -> DataFrame:
     """Each left row with the latest right row of equal key whose time is not later: one union and one
-    window over key and time, no inequality join."""
+    window over key and time, no inequality join.  A null key matches nothing, nor does a null time."""
+    absent = F.lit(False)
+    for c in [*by, time]:
+        absent = absent | F.col(c).isNull()
+    right = right.filter(~absent)
     cols = [c for c in left.columns]
     a = left.select(F.struct(*cols).alias("_l"), *by, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*keep)).schema[0].dataType).alias("_r"))
     b = right.select(F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), *by, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(*keep).alias("_r"))
     w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = a.unionByName(b).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
+    out = out.withColumn("_r", F.when(~F.coalesce(F.expr(" or ".join(f"_l.`{c}` is null" for c in [*by, time])), F.lit(False)), F.col("_r")))
     return out.select("_l.*", *[F.col(f"_r.{c}").alias(f"{prefix}{c}") for c in keep])
 
 
@@ -95,11 +125,19 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     return a.join(b, "_b").filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_b")
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: int = 16, how: str = "inner") -> DataFrame:
-    """Join whose hot keys are dealt over `hot` tasks: rows of `big` take a salt, rows of `small` all of them."""
-    a = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(hot)).cast("int"))
-    b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(hot - 1))))
-    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: int = 16, how: str = "inner", share: float = 0.01) -> DataFrame:
+    """Join whose hot keys are dealt over `hot` tasks: rows of `big` with such a key take a salt, rows of `small`
+    all salts; other keys are joined as they are.  Hot are keys with more than `share` of the rows of `big`, so
+    that there are at most 1 / share of them.  Kinds: inner, left, left_semi and left_anti, in which no row of
+    `small` stands for itself."""
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"salted_join: {how!r} would repeat rows of the small side")
+    total = big.count()
+    often = [r for r in big.groupBy(*keys).count().filter(F.col("count") > share * total).drop("count").collect() if None not in tuple(r)]
+    is_hot = lambda: reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [F.col(k) == F.lit(r[k]) for k in keys]) for r in often], F.lit(False))
+    salt = F.when(F.coalesce(is_hot(), F.lit(False)), F.pmod(F.monotonically_increasing_id(), F.lit(hot)).cast("int")).otherwise(F.lit(0))
+    every = F.when(F.coalesce(is_hot(), F.lit(False)), F.sequence(F.lit(0), F.lit(hot - 1))).otherwise(F.array(F.lit(0)))
+    return big.withColumn("_salt", salt).join(small.withColumn("_salt", F.explode(every)), [*keys, "_salt"], how).drop("_salt")
 
 
 # --- exchange
@@ -133,7 +171,8 @@ def analyze(df: DataFrame) -> DataFrame:
 
 def split_by_hash(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """A column `split` drawn from the key's hash: reruns and new rows leave old assignments alone."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8)
+    u = F.conv(digits, 16, 10).cast("long") / F.lit(2**32)
     total, upto, out = sum(shares.values()), 0.0, None
     for name, share in shares.items():
         upto += share / total

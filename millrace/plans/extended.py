@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import compat as C
@@ -278,7 +279,10 @@ def feature_group(spark, d):
     return R.features(table(spark, d, "customer"), "c_custkey", ["c_acctbal", "c_mktsegment"], ids)
 
 
-@query("dataset_split")
+_U = "CAST(concat('0x', left(md5(concat('42:', c_custkey)), 8)) AS BIGINT) / 4294967296.0"
+
+
+@query("dataset_split", f"SELECT c_custkey, CASE WHEN {_U} < 0.8 THEN 'train' WHEN {_U} < 0.9 THEN 'validation' ELSE 'test' END AS split FROM customer")
 def dataset_split(spark, d):
     return R.split_by_hash(table(spark, d, "customer").select("c_custkey"), "c_custkey", {"train": 0.8, "validation": 0.1, "test": 0.1})
 
@@ -305,3 +309,55 @@ def fn_to_char(spark, d):
 def fn_session(spark, d):
     C.register(spark)
     return table(spark, d, "embeddings").selectExpr("vec_id", "vector_dims(CAST(embedding AS ARRAY<DOUBLE>)) AS dims", "round(vector_norm(CAST(embedding AS ARRAY<DOUBLE>)), 5) AS norm")
+
+
+# --- 2.9 functions of the user
+@query("udf_pandas", "SELECT c_custkey, c_acctbal * 2 + 1 AS y FROM customer")
+def udf_pandas(spark, d):
+    @F.pandas_udf("double")
+    def twice(x: pd.Series) -> pd.Series:
+        return x * 2 + 1
+
+    known = C.Registry(spark)
+    known.register_scalar("twice_and_one", twice, "double", 1)
+    return table(spark, d, "customer").select("c_custkey", known.call("Twice_And_One", F.col("c_acctbal")).alias("y"))
+
+
+@query("udaf_pandas", "SELECT c_nationkey, CAST(max(c_custkey) - min(c_custkey) AS DOUBLE) AS spread FROM customer GROUP BY 1")
+def udaf_pandas(spark, d):
+    @F.pandas_udf("double")
+    def spread(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    known = C.Registry(spark)
+    known.register_aggregate("spread_of", spread)
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(known.call("spread_of", F.col("c_custkey")).alias("spread"))
+
+
+@query("udtf_rows", "SELECT c_custkey, unnest(string_split(c_name, '#')) AS word FROM customer")
+def udtf_rows(spark, d):
+    @F.udtf(returnType="word string")
+    class Split:
+        def eval(self, text: str, mark: str):
+            for w in (text or "").split(mark):
+                yield (w,)
+
+    spark.udtf.register("split_rows", Split)
+    table(spark, d, "customer").createOrReplaceTempView("customer")
+    return spark.sql("SELECT c_custkey, word FROM customer, LATERAL split_rows(c_name, '#')")
+
+
+@query("window_sliding", "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 day', ts) - to_days(CAST(unnest([0, 1]) AS INTEGER)) AS start FROM events) t GROUP BY 1")
+def window_sliding(spark, d):
+    return cdc.windowed_counts(table(spark, d, "events"), "ts", "2 days", "1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("copy_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def copy_csv(spark, d):
+    """COPY TO and FROM by way of a shared folder: tab-separated text with \\N for null."""
+    from ..sources.files import copy_from, copy_to
+
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/copy_customer"
+    copy_to(c, path)
+    return copy_from(spark, path, "c_custkey long, c_name string, c_acctbal double")

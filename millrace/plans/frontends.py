@@ -26,13 +26,15 @@ def detect(query: str) -> str:
 
 
 def from_mysql(query: str) -> str:
-    """Spark SQL for MySQL text; string literals are left as they are."""
+    """Spark SQL for MySQL text; string literals are left as they are, an ENUM becomes text with its literals gone."""
+    literal = r"'(?:[^'\\]|\\.|'')*'"
+    enum = re.compile(rf"({literal})|\bENUM\s*\(\s*{literal}(?:\s*,\s*{literal})*\s*\)", re.I)
+    query = enum.sub(lambda m: m[1] or "VARCHAR(50)", query)
     parts = re.split(r"('(?:[^'\\]|\\.|'')*')", query)
     for i in range(0, len(parts), 2):
         p = parts[i]
         p = re.sub(r"\bLIMIT\s+(\d+)\s*,\s*(\d+)", r"LIMIT \2 OFFSET \1", p, flags=re.I)
         p = re.sub(r"\s+AUTO_INCREMENT\b|\s+UNSIGNED\b|\s*ENGINE\s*=\s*\w+|\s*DEFAULT\s+CHARSET\s*=\s*\w+", "", p, flags=re.I)
-        p = re.sub(r"\bENUM\s*\($", "VARCHAR(50", p, flags=re.I)
         p = re.sub(r"\bDATETIME\b", "TIMESTAMP", p, flags=re.I)
         p = re.sub(r"\b(TINYTEXT|MEDIUMTEXT|LONGTEXT|TEXT)\b", "STRING", p, flags=re.I)
         p = re.sub(r"\bMEDIUMINT\b", "INT", p, flags=re.I)

@@ -49,7 +49,7 @@ add("column_statistics", """SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(o_t
     min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders""")
 
 # --- 2.2 projection, filter, expressions
-add("project_arith", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge, l_quantity - 1 AS q1, -l_quantity AS neg FROM lineitem")
+add("project_arith", "SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(15, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) * (1 + CAST(l_tax AS DECIMAL(4, 2))), 2) AS DOUBLE) AS charge, l_quantity - 1 AS q1, -l_quantity AS neg FROM lineitem")
 add("project_int_div", "SELECT o_orderkey, o_orderkey div 7 AS d, o_orderkey % 7 AS m FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS d, o_orderkey % 7 AS m FROM orders")
 add("project_star", "SELECT n.*, n.n_nationkey * 10 AS tenfold FROM nation n")
 add("filter_three_valued", """SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS p FROM orders) t
@@ -112,7 +112,7 @@ add("agg_group_all", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY A
 add("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 14 AND sum(o_totalprice) > 100000")
 add("agg_in_expression", "SELECT l_returnflag, round(sum(l_extendedprice) / sum(l_quantity), 4) AS unit, sum(l_quantity) > 1000 AS big FROM lineitem GROUP BY l_returnflag")
 add("agg_count_null", "SELECT count(*) AS n, count(p) AS non_null FROM (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS p FROM orders) t")
-add("agg_first_last", "SELECT o_custkey, min_by(o_orderkey, o_orderkey) AS first_order, max_by(o_orderkey, o_orderkey) AS last_order FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS first_order, arg_max(o_orderkey, o_orderkey) AS last_order FROM orders GROUP BY o_custkey")
+add("agg_first_last", "SELECT o_custkey, min_by(o_totalprice, o_orderkey) AS first_price, max_by(o_totalprice, o_orderkey) AS last_price FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS first_price, arg_max(o_totalprice, o_orderkey) AS last_price FROM orders GROUP BY o_custkey")
 add("agg_array", "SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), '|') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(list(n_name)), '|') AS names FROM nation GROUP BY n_regionkey")
 add("agg_string", "SELECT n_regionkey, listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
 add("agg_bool", "SELECT o_custkey, bool_and(o_totalprice > 1000) AS every_one, bool_or(o_orderstatus = 'P') AS any_one FROM orders GROUP BY o_custkey")
@@ -120,17 +120,22 @@ add("agg_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS custs, C
 add("agg_filter", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, round(sum(o_totalprice) FILTER (WHERE o_totalprice > 100000), 2) AS s FROM orders GROUP BY o_orderpriority")
 add("agg_stats", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY l_returnflag")
 add("agg_percentile", "SELECT o_orderstatus, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 4) AS med FROM orders GROUP BY o_orderstatus")
+add("agg_approx_distinct", "SELECT l_returnflag, abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS near FROM lineitem GROUP BY 1", "SELECT l_returnflag, true AS near FROM lineitem GROUP BY 1")
+add("agg_percentile_approx", "SELECT l_returnflag, percentile_approx(l_quantity, 0.5, 10000) BETWEEN percentile(l_quantity, 0.49) AND percentile(l_quantity, 0.51) AS near FROM lineitem GROUP BY 1", "SELECT l_returnflag, true AS near FROM lineitem GROUP BY 1")
 add("agg_null_group", "SELECT k, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS k FROM orders) t GROUP BY k")
 
 # --- 2.5 windows (a superset)
 add("window_rank", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey)")
 add("window_lag_lead", "SELECT event_id, lag(value) OVER w AS before, lead(event_type, 1, 'none') OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 add("window_frame", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM events")
+add("window_range_frame", "SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey ORDER BY c_custkey RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS n FROM customer")
+add("join_merge_outer", "SELECT /*+ MERGE(orders) */ c_custkey, o_orderkey FROM customer FULL JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000", "SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000")
+add("join_parenthesised", "SELECT c_custkey, o_orderkey, n_name FROM customer LEFT JOIN (orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1) ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey")
 add("window_values", "SELECT event_id, first_value(event_id) OVER w AS f, nth_value(event_id, 2) OVER w AS second, ntile(4) OVER (PARTITION BY user_id ORDER BY event_id) AS tile FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 add("window_percent", "SELECT s_suppkey, round(percent_rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey), 6) AS pr, round(cume_dist() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey), 6) AS cd FROM supplier")
 
 # --- 2.6 sort, limit, top-k
-add("sort_multi", "SELECT row_number() OVER (ORDER BY c_mktsegment DESC NULLS LAST, c_acctbal ASC NULLS FIRST, c_custkey) AS pos, c_custkey FROM customer ORDER BY c_mktsegment DESC NULLS LAST, c_acctbal ASC NULLS FIRST, c_custkey LIMIT 200")
+add("sort_multi", "SELECT row_number() OVER (ORDER BY c_mktsegment DESC NULLS LAST, c_acctbal ASC NULLS FIRST, c_custkey) AS pos, c_custkey FROM (SELECT * FROM customer ORDER BY c_mktsegment DESC NULLS LAST, c_acctbal ASC NULLS FIRST, c_custkey LIMIT 200) t")  # ranked after the limit
 add("sort_nulls_last", "SELECT o_orderkey, p FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS p FROM orders) t ORDER BY p DESC NULLS LAST, o_orderkey LIMIT 50")
 add("sort_nulls_first", "SELECT o_orderkey, p FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS p FROM orders) t ORDER BY p ASC NULLS FIRST, o_orderkey LIMIT 50")
 add("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 35")

@@ -93,5 +93,10 @@ def pushed_filters(df: DataFrame) -> list[str]:
 
 
 def row_numbered(df: DataFrame, order: list[str], parts: int) -> DataFrame:
-    """Contiguous data partitions of nearly equal size."""
-    return df.withColumn("part", F.expr(f"ntile({int(parts)}) over (order by {', '.join(order)})") - 1)
+    """Contiguous data partitions of nearly equal size, numbered from 0; the first have the rows left over."""
+    from ..operators.relational import with_sequence
+
+    small, more = divmod(df.count(), parts)
+    at, big = F.col("_at"), more * (small + 1)
+    part = F.when(at < big, F.floor(at / (small + 1))).otherwise(more + F.floor((at - big) / max(1, small)))
+    return with_sequence(df, "_at", order, 0).withColumn("part", part.cast("long")).drop("_at")

@@ -102,3 +102,42 @@ def test_split_is_stable(spark):
     a = {r.id: r.split for r in R.split_by_hash(t, "id", {"train": 0.8, "test": 0.2}).collect()}
     b = {r.id: r.split for r in R.split_by_hash(spark.range(3000).repartition(5), "id", {"train": 0.8, "test": 0.2}).collect()}
     assert all(b[k] == v for k, v in a.items()) and 0.75 < sum(v == "train" for v in a.values()) / 2000 < 0.85
+
+
+def test_merge_raises_where_several_source_rows_match(spark):
+    t = spark.createDataFrame([(1, 10.0)], "id int, v double")
+    s = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 1.0), (2, 1.5)], "id int, v double")
+    with pytest.raises(Exception, match="several source rows"):
+        R.merge(t, s, ["id"], {"v": F.col("s.v")}).collect()
+    assert rows(R.merge(t, s.filter("id = 2"), ["id"], {"v": F.col("s.v")})) == [(1, 10.0), (2, 1.0), (2, 1.5)]
+
+
+def test_as_of_join_null_keys_match_nothing(spark):
+    a = spark.createDataFrame([(None, 5, "l1"), ("x", 5, "l2"), ("x", None, "l3")], "k string, t int, n string")
+    b = spark.createDataFrame([(None, 1, "rn"), ("x", 1, "rx"), ("x", None, "r0")], "k string, t int, v string")
+    assert {r.n: r.r_v for r in R.as_of_join(a, b, ["k"], "t", ["v"]).collect()} == {"l1": None, "l2": "rx", "l3": None}
+
+
+def test_salted_join_keeps_the_rows_of_a_plain_join(spark):
+    big = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(None, -1)], "k int, v int")
+    small = spark.createDataFrame([(1, "one"), (3, "three"), (3, "drei"), (-5, "none"), (None, "null")], "k int, s string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = R.salted_join(big, small, ["k"], how=how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, big.join(small, ["k"], how).collect()))
+    with pytest.raises(ValueError):
+        R.salted_join(big, small, ["k"], how="full")
+
+
+def test_sequences_are_gapless_over_many_partitions(spark):
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        wide = spark.range(400_000, numPartitions=7).select((F.col("id") * 7919 % 400_009).alias("k"), F.repeat(F.lit("x"), 40).alias("pad"))
+        got = R.with_sequence(wide, "seq", ["k"], 1, 1).select("k", "seq")
+        want = got.selectExpr("count(*) n", "count(distinct seq) d", "min(seq) lo", "max(seq) hi").first()
+        assert tuple(want) == (400_000, 400_000, 1, 400_000)
+        assert got.selectExpr("seq - lag(seq) over (order by k) as step").filter("step <> 1").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    names = spark.createDataFrame([(x,) for x in ["b", None, "", "a", "zz", "é", "aa"]], "s string")
+    assert [r.s for r in R.with_sequence(names, "n", ["s"]).orderBy("n").collect()] == [None, "", "a", "aa", "b", "zz", "é"]
