@@ -102,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     """A model from the labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     Labels that are null, ids that are null and labels without a document are left out; of several labels
-    of an id the largest counts.  Without a label of each class the score is the share of toxic labels.
+    of an id the largest counts, of several rows of an id one.  At most `max_per_class` rows a class and
+    `features` n-grams, each in LEAST_TEXTS texts or more, make the model.  Without a label of each class the score is the share of toxic labels.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(_remainder("doc_id") != 0)
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
@@ -114,7 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     pick = [known.filter(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(max_per_class) for c in (0, 1)]
     picked = F.broadcast(pick[0].union(pick[1]))  # at most 2 * max_per_class rows of 12 bytes
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(picked, "id")
-    texts = texts.select("y", "text").repartition(8, F.xxhash64("text"))
+    # of several rows of an id the one with the least hash counts, so that the bound holds for rows too
+    texts = texts.withColumn("h", F.xxhash64("text")).withColumn("k", F.expr("row_number() over (partition by id order by h)"))
+    texts = texts.filter("k = 1").select("y", "text").repartition(8, F.xxhash64("text"))
 
     def count(batches):
         import pandas as pd

@@ -166,3 +166,12 @@ def test_licence_edges(empty, odd):
     assert licenses.scan(empty).count() == 0 and licenses.scan(odd).count() == odd.count()
     plan = explain(licenses.scan(odd))
     assert not [n for n in ("EvalPython", "MapInArrow", "MapInPandas", "PythonUDF", "Exchange") if n in plan]
+
+
+def test_repeated_ids_stay_within_the_bound_of_training_rows(spark):
+    rows = [(i, ("vile words " if i % 2 else "kind words ") * 5 + str(i)) for i in range(120)]
+    many = rows + [(1, f"vile words again {k}") for k in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(many, "doc_id long, text string"), labels, max_per_class=20)
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert min(got[i] for i in range(1, 120, 2)) > max(got[i] for i in range(0, 120, 2))
