@@ -44,7 +44,7 @@ STAGES = [
     ("source mixing", mix_sources),
     ("SentencePiece coding", encode_pieces),
 ]
-#: Signatures, classifiers and sampled segmentations have no SQL form; tests compare the stages to brute force.
+#: Signatures, classifiers and sampled segmentations have no SQL form; tests compare the operators of the stages to brute force.
 ORACLE_SQL = None
 
 
