@@ -41,7 +41,7 @@ def to_char(ts: Column, pattern: str) -> Column:
 
 
 def to_timestamp(text: Column, pattern: str) -> Column:
-    return F.to_timestamp(text, F.lit(date_pattern(pattern)))
+    return F.to_timestamp(text, date_pattern(pattern))
 
 
 def json_typeof(text: Column) -> Column:

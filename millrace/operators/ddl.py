@@ -45,11 +45,17 @@ def rename_table(spark: SparkSession, old: str, new: str) -> None:
 
 
 def replace(spark: SparkSession, name: str, df: DataFrame) -> None:
-    """Swap a table's contents for `df`, which may read the table itself."""
+    """Swap a table's contents for `df`, which may read the table itself.  If the swap fails, the old table is back
+    under its name."""
     new, old = f"{_name(name)}_{uuid.uuid4().hex[:8]}", f"{name}_{uuid.uuid4().hex[:8]}"
     df.write.format("parquet").saveAsTable(new)
     rename_table(spark, name, old)
-    rename_table(spark, new, name)
+    try:
+        rename_table(spark, new, name)
+    except Exception:
+        rename_table(spark, old, name)
+        drop_table(spark, new)
+        raise
     drop_table(spark, old)
 
 

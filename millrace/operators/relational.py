@@ -152,6 +152,14 @@ def partition(df: DataFrame, scheme: str, n: int = 0, columns: list[str] | None
     raise ValueError(f"unknown scheme {scheme!r} or no columns")
 
 
+def partition_by_bounds(df: DataFrame, column: str, bounds: list) -> DataFrame:
+    """Range partitioning by given bounds: row partition i holds bounds[i - 1] <= value < bounds[i]; nulls go to the first."""
+    place = F.lit(0)
+    for b in sorted(bounds):
+        place = place + F.when(F.col(column) >= F.lit(b), 1).otherwise(0)
+    return df.repartitionById(len(bounds) + 1, place.cast("int"))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:
     """The first k rows of each group (Spark limits groups before the shuffle)."""
     w = Window.partitionBy(*keys).orderBy(*order)

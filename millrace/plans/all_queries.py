@@ -1,4 +1,4 @@
 """All query modules of the reference operators, registered on import."""
 
-from . import extended, relational  # noqa: F401
+from . import extended, live, relational  # noqa: F401
 from .catalog import ORACLES, QUERIES  # noqa: F401

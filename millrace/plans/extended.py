@@ -62,9 +62,25 @@ def vector_ivf_all_lists(spark, d):
     return ivf.search(_first_vector(spark, d), 10, probes=8).withColumn("distance", F.round("distance", 6))
 
 
-@query("vector_layered_graph")
+def _recall(spark, d, found, k: int = 10):
+    """(k, recall_ok): whether at least 0.9 of the true k nearest are among the rows found."""
+    exact = S.knn(table(spark, d, "embeddings"), "embedding", _first_vector(spark, d), k).select("vec_id")
+    return exact.join(found.select("vec_id").distinct().withColumn("hit", F.lit(1)), "vec_id", "left").agg(F.count("*").cast("int").alias("k"), (F.count("hit") >= 0.9 * k).alias("recall_ok"))
+
+
+_RECALL = "SELECT 10 AS k, true AS recall_ok"
+
+
+@query("vector_layered_graph", _RECALL)
 def vector_layered_graph(spark, d):
-    return S.layered_graph_search(table(spark, d, "embeddings"), "embedding", [_first_vector(spark, d)], 10)
+    return _recall(spark, d, S.layered_graph_search(table(spark, d, "embeddings"), "embedding", [_first_vector(spark, d)], 10))
+
+
+@query("vector_ivf_probes", _RECALL)
+def vector_ivf_probes(spark, d):
+    """Twelve of sixteen lists."""
+    ivf = S.InvertedLists(table(spark, d, "embeddings"), "embedding", lists=16, iterations=5)
+    return _recall(spark, d, ivf.search(_first_vector(spark, d), 10, probes=12))
 
 
 @query("vector_scalar_quantizer", """WITH u AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), b AS (SELECT i, min(x) AS lo, max(x) AS hi FROM u GROUP BY i)
@@ -81,11 +97,13 @@ def vector_binary_quantizer(spark, d):
     return e.select("vec_id", F.aggregate(S.BinaryQuantizer(e, "embedding").encode(F.col("embedding").cast("array<double>")), F.lit(0), lambda s, x: s + F.bit_count(x)).alias("ones"))
 
 
-@query("vector_product_quantizer")
+@query("vector_product_quantizer", _RECALL)
 def vector_product_quantizer(spark, d):
+    """The 100 nearest by code, ranked again by their vectors."""
     e = table(spark, d, "embeddings")
-    pq = S.ProductQuantizer(e, "embedding", parts=8, centroids=16, iterations=5)
-    return e.select("vec_id", pq.distance(pq.encode(F.col("embedding")), _first_vector(spark, d)).alias("distance")).orderBy("distance", "vec_id").limit(20)
+    pq, q = S.ProductQuantizer(e, "embedding", parts=16, centroids=32, iterations=5), _first_vector(spark, d)
+    near = e.select("vec_id", "embedding", pq.distance(pq.encode(F.col("embedding")), q).alias("rough")).orderBy("rough", "vec_id").limit(100)
+    return _recall(spark, d, S.knn(near, "embedding", q, 10))
 
 
 # --- 2.11 change data
@@ -218,11 +236,36 @@ def join_salted(spark, d):
     return R.salted_join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"]).select("o_orderkey", "c_name")
 
 
-for _s in ("single", "round_robin", "hash", "range"):
-
-    @query(f"exchange_{_s}", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
-    def exchange(spark, d, scheme=_s):
-        return R.partition(table(spark, d, "customer"), scheme, 4, ["c_custkey"]).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+def _placed(df, key: str):
+    """Rows and distinct keys per partition, and the partition's key bounds."""
+    at = df.select(F.spark_partition_id().alias("p"), F.col(key).alias("key"))
+    return at.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"), F.min("key").alias("low"), F.max("key").alias("high"))
+
+
+#: What holds of where each scheme puts the orders' lines.
+_PLACED = {
+    "single": "count(*) = 1",
+    # each task that reads deals its rows in turn, so it adds at most one to the difference
+    "round_robin": "max(n) - min(n) <= 0.01 * sum(n) + 1",
+    "hash": "sum(keys) = max(all_keys)",
+    "range": "sum(keys) = max(all_keys) and bool_and(apart)",
+}
+for _s, _holds in _PLACED.items():
+
+    @query(f"exchange_{_s}", f"SELECT count(*) AS n, CAST({1 if _s == 'single' else 4} AS BIGINT) AS parts, true AS placed FROM lineitem")
+    def exchange(spark, d, scheme=_s, holds=_holds):
+        li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+        got = _placed(R.partition(li, scheme, 4, ["l_orderkey"]), "l_orderkey")
+        if scheme == "range":  # the bounds of partitions do not overlap
+            apart = F.expr("coalesce(low > lag(high) over (order by p), true)")
+            got = got.withColumn("apart", apart)
+        all_keys = li.agg(F.countDistinct("l_orderkey")).first()[0]
+        return got.withColumn("all_keys", F.lit(all_keys)).agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.expr(holds).alias("placed"))
+
+
+@query("exchange_bounds", "SELECT CAST(l_orderkey >= 100 AS INT) + CAST(l_orderkey >= 500 AS INT) + CAST(l_orderkey >= 1000 AS INT) AS p, count(*) AS n, min(l_orderkey) AS low, max(l_orderkey) AS high FROM lineitem GROUP BY 1")
+def exchange_bounds(spark, d):
+    return _placed(R.partition_by_bounds(table(spark, d, "lineitem").select("l_orderkey"), "l_orderkey", [100, 500, 1000]), "l_orderkey").drop("keys")
 
 
 # --- 2.13 front ends

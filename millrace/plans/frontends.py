@@ -132,13 +132,25 @@ def aggregate(df: DataFrame, stages: list[dict], tables: dict[str, DataFrame] |
 
 
 def run_document(query: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """db.<table>.find({...}, {...}), findOne, count, countDocuments, aggregate([...])."""
+    """db.<table>.find({...}, {...}), findOne, count, countDocuments, aggregate([...]); insertOne, insertMany,
+    updateMany and deleteMany return the table after them."""
     m = re.match(r"\s*db\.(\w+)\.(\w+)\((.*)\)\s*;?\s*\Z", query, re.S)
     if not m:
         raise ValueError("expected db.<collection>.<operation>(...)")
     df, args = tables[m[1]], json.loads(f"[{m[3]}]")
     if m[2] == "aggregate":
         return aggregate(df, args[0], tables)
+    if m[2] in ("insertOne", "insertMany"):
+        docs = args[0] if m[2] == "insertMany" else args[:1]
+        extra = sorted({k for x in docs for k in x} - set(df.columns))
+        if extra:
+            raise ValueError(f"the table has no columns {extra}")
+        text = df.sparkSession.createDataFrame([(json.dumps(x),) for x in docs], "d string")
+        return df.unionByName(text.select(F.from_json("d", df.schema).alias("d")).select("d.*"))
+    if m[2] == "updateMany":
+        return document_update(df, args[0], args[1])
+    if m[2] == "deleteMany":
+        return df.filter(~F.coalesce(document_filter(args[0]), F.lit(False)))
     out = find(df, *args[:2])
     if m[2] in ("count", "countDocuments"):
         return out.agg(F.count("*").alias("count"))

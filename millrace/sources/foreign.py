@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -50,7 +51,71 @@ def build_select(table: str, columns: list[str], quals: list[Qual], limit: int |
     return sql + (f" LIMIT {int(limit)}" if limit is not None else ""), params
 
 
-#: The share of rows that a filter is taken to keep.
+def _where_text(quals: list[Qual], style: str, params: list) -> str:
+    base = len(params)
+    text, more = build_select("t", [], quals, style=style)
+    at = text.find(" WHERE ")
+    if at < 0:
+        raise ValueError("a change without a filter would touch the whole remote table")
+    params += more
+    if style == "numbered":  # the filter's parameters come after those of the assignments
+        return re.sub(r"\$(\d+)", lambda m: f"${int(m[1]) + base}", text[at:])
+    return text[at:]
+
+
+def build_insert(table: str, columns: list[str], rows: list[tuple], style: str = "numbered") -> tuple[str, list]:
+    """One INSERT of several rows with placeholders."""
+    q, n = ('"', 0) if style == "numbered" else ("`", 0)
+    groups = []
+    for r in rows:
+        if len(r) != len(columns):
+            raise ValueError("a row has another number of values than there are columns")
+        groups.append("(" + ", ".join(f"${n + i + 1}" if style == "numbered" else "?" for i in range(len(r))) + ")")
+        n += len(r)
+    return f"INSERT INTO {quote(table, q)} ({', '.join(quote(c, q) for c in columns)}) VALUES {', '.join(groups)}", [v for r in rows for v in r]
+
+
+def build_update(table: str, assignments: dict, quals: list[Qual], style: str = "numbered") -> tuple[str, list]:
+    q, params = '"' if style == "numbered" else "`", list(assignments.values())
+    sets = ", ".join(f"{quote(c, q)} = " + (f"${i + 1}" if style == "numbered" else "?") for i, c in enumerate(assignments))
+    return f"UPDATE {quote(table, q)} SET {sets}" + _where_text(quals, style, params), params
+
+
+def build_delete(table: str, quals: list[Qual], style: str = "numbered") -> tuple[str, list]:
+    q, params = '"' if style == "numbered" else "`", []
+    return f"DELETE FROM {quote(table, q)}" + _where_text(quals, style, params), params
+
+
+#: Types of remote servers and Spark's; parameters in brackets are kept for decimals and text of a length.
+REMOTE_TYPES = {
+    "smallint": "SMALLINT", "int2": "SMALLINT", "tinyint": "TINYINT", "integer": "INT", "int": "INT", "int4": "INT", "mediumint": "INT", "bigint": "BIGINT", "int8": "BIGINT",
+    "real": "FLOAT", "float4": "FLOAT", "float": "FLOAT", "double precision": "DOUBLE", "double": "DOUBLE", "float8": "DOUBLE", "numeric": "DECIMAL", "decimal": "DECIMAL",
+    "boolean": "BOOLEAN", "bool": "BOOLEAN", "text": "STRING", "character varying": "VARCHAR", "varchar": "VARCHAR", "char": "CHAR", "character": "CHAR", "uuid": "STRING",
+    "json": "STRING", "jsonb": "STRING", "bytea": "BINARY", "blob": "BINARY", "date": "DATE", "timestamp": "TIMESTAMP_NTZ", "timestamp without time zone": "TIMESTAMP_NTZ",
+    "timestamptz": "TIMESTAMP", "timestamp with time zone": "TIMESTAMP", "datetime": "TIMESTAMP_NTZ", "time": "STRING",
+}
+
+
+def spark_type(remote: str) -> str:
+    """Spark's type for a remote one, such as numeric(10,2); unknown types are read as text."""
+    m = re.fullmatch(r"\s*([a-z0-9 ]+?)\s*(\(\s*\d+\s*(?:,\s*\d+\s*)?\))?(?:\s+unsigned)?\s*", remote.lower())
+    kind = REMOTE_TYPES.get(m[1], "STRING") if m else "STRING"
+    if kind in ("VARCHAR", "CHAR"):
+        return kind + m[2].replace(" ", "") if m[2] else "STRING"
+    return "DECIMAL" + (m[2].replace(" ", "") if m[2] else "(38,18)") if kind == "DECIMAL" else kind
+
+
+def import_schema(columns: list[tuple[str, str, str, bool]], only: list[str] | None = None, but: list[str] | None = None) -> dict[str, str]:
+    """Table name to Spark schema text, from a remote catalog's (table, column, type, nullable) rows in order;
+    `only` and `but` limit the tables."""
+    out: dict[str, list[str]] = {}
+    for name, column, kind, nullable in columns:
+        if (only is None or name in only) and name not in (but or []):
+            out.setdefault(name, []).append(f"{quote(column, '`')} {spark_type(kind)}" + ("" if nullable else " NOT NULL"))
+    return {k: ", ".join(v) for k, v in out.items()}
+
+
+#: The share of rows that a filter is taken to keep: estimates of our own.
 SELECTIVITY = {"=": 0.1, "<>": 0.9, "<": 0.33, "<=": 0.33, ">": 0.33, ">=": 0.33, "like": 0.2, "in": 0.2, "is null": 0.1, "is not null": 0.9}
 
 
@@ -78,6 +143,11 @@ def plan_join(servers: tuple[str, str], how: str) -> bool:
     return servers[0] == servers[1] and how.lower() in ("inner", "left", "right")
 
 
+def _local(path: str) -> str:
+    """A local path of a path or file: URL."""
+    return re.sub(r"^file:(//)?(?=/)", "", path)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -87,7 +157,7 @@ class _DocumentReader(DataSourceReader):
     """JSON lines; equality, range, null, IN and prefix filters run while reading."""
 
     def __init__(self, schema, options):
-        self.schema, self.path, self.tests = schema, options["path"], []
+        self.schema, self.path, self.tests = schema, _local(options["path"]), []
 
     def pushFilters(self, filters):
         able = {EqualTo: "eq", GreaterThan: "gt", GreaterThanOrEqual: "ge", LessThan: "lt", LessThanOrEqual: "le", In: "in", IsNull: "null", IsNotNull: "some", StringStartsWith: "prefix"}
@@ -134,7 +204,7 @@ class _DocumentReader(DataSourceReader):
 
 
 class DocumentSource(DataSource):
-    """format("documents"): a folder of JSON-lines files; without a schema one is inferred from the first rows."""
+    """format("documents"): a folder of JSON-lines files; without a schema one is inferred from all of them, so large folders should be given one."""
 
     @classmethod
     def name(cls):
@@ -142,10 +212,12 @@ class DocumentSource(DataSource):
 
     def schema(self):
         kinds: dict[str, str] = {}
-        path = self.options["path"]
-        for p in (sorted(glob.glob(os.path.join(path, "*.json*"))) if os.path.isdir(path) else [path])[:1]:
+        path = _local(self.options["path"])
+        for p in (sorted(glob.glob(os.path.join(path, "*.json*"))) if os.path.isdir(path) else [path]):
             with open(p, encoding="utf-8") as f:
-                for line, _ in zip(f, range(100)):
+                for line in f:
+                    if not line.strip():
+                        continue
                     for k, v in json.loads(line).items():
                         kind = "boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) else "double" if isinstance(v, float) else "string"
                         old = kinds.get(k)
@@ -173,7 +245,7 @@ class _DocumentWriter(DataSourceWriter):
     """One JSON-lines file per task, visible only once its name is final."""
 
     def __init__(self, schema, options, overwrite):
-        self.schema, self.path, self.overwrite = schema, options["path"], overwrite
+        self.schema, self.path, self.overwrite = schema, _local(options["path"]), overwrite
 
     def write(self, iterator):
         import uuid
@@ -201,7 +273,7 @@ class _DocumentWriter(DataSourceWriter):
 
 class _KeyValueReader(DataSourceReader):
     def __init__(self, schema, options):
-        self.path, self.prefix = options["path"], options.get("prefix", "")
+        self.path, self.prefix = _local(options["path"]), options.get("prefix", "")
 
     def pushFilters(self, filters):
         for f in filters:

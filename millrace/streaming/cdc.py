@@ -51,8 +51,12 @@ def latest(df: DataFrame, keys: list[str], order: str = "lsn", keep_deleted: boo
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], order: str = "lsn") -> DataFrame:
-    """The table after the changes: last event per key wins."""
-    last = latest(changes, keys, order, keep_deleted=True)
+    """The table after the changes: last event per key wins.  A truncate event (t) empties the table and voids the
+    events before it, a snapshot event (r) is an insert, a schema event (s) changes no row."""
+    cut = changes.agg(F.max(F.when(F.col("op") == "t", F.col(order)))).first()[0]
+    if cut is not None:
+        target, changes = target.limit(0), changes.filter(F.col(order) > F.lit(cut))
+    last = latest(changes.filter("op not in ('s', 't')"), keys, order, keep_deleted=True)
     kept = target.join(last.select(*keys), keys, "left_anti").select(*keys, *columns)
     return kept.unionByName(last.filter("op <> 'd'").select(*keys, *columns))
 
@@ -89,22 +93,44 @@ def fan_out(stream: DataFrame, rules: list[dict], sinks: dict, checkpoint: str,
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], columns: list[str], checkpoint: str, order: str = "lsn"):
-    """Keep a table of the latest rows: each micro-batch rewrites it into a new snapshot folder."""
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], columns: list[str], checkpoint: str, order: str = "lsn", buckets: int = 64):
+    """Keep a table of the latest rows, in `buckets` folders by key hash: a micro-batch rewrites the folders of its
+    keys only.  The new folders are staged first, so that a batch that is run again after a failure ends the same;
+    applying a batch twice changes nothing.  A truncate event rewrites all.  Read it with `latest_table`."""
+    data = f"{path}/data"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        old = f"{path}/v{batch_id - 1}"
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(old)):
-            new = apply_changes(spark.read.parquet(old), batch, keys, columns, order)
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        empty = spark.createDataFrame([], batch.schema).select(*keys, *columns)
+        if batch.filter("op = 't'").isEmpty():
+            touched = [r.b for r in batch.filter("op <> 's'").select(bucket.alias("b")).distinct().collect()]  # at most `buckets`
         else:
-            new = latest(batch, keys, order).select(*keys, *columns)
-        new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+            touched = list(range(buckets))
+        stage = f"{path}/_stage/{batch_id}"
+        if not fs.exists(at(f"{stage}/_SUCCESS")):
+            old = latest_table(spark, path, empty.schema).filter(bucket.isin(touched)) if fs.exists(at(data)) else empty
+            new = apply_changes(old, batch, keys, columns, order).withColumn("_b", bucket)
+            new.write.mode("overwrite").partitionBy("_b").parquet(stage)
+        for b in touched:
+            fs.delete(at(f"{data}/_b={b}"), True)
+            if fs.exists(at(f"{stage}/_b={b}")):
+                copy = spark._jvm.org.apache.hadoop.fs.FileUtil.copy
+                fs.mkdirs(at(data))
+                copy(fs, at(f"{stage}/_b={b}"), fs, at(f"{data}/_b={b}"), False, spark._jsc.hadoopConfiguration())
+        fs.delete(at(f"{path}/_stage/{batch_id - 1}"), True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_table(spark, path: str, schema=None) -> DataFrame:
+    """The rows that `upsert_stream` keeps."""
+    read = spark.read if schema is None else spark.read.schema(schema)
+    return read.option("basePath", f"{path}/data").parquet(f"{path}/data").drop("_b")
+
+
 def windowed_counts(df: DataFrame, ts: str, window: str, slide: str | None = None, session: bool = False, late: str = "1 hour", keys: tuple[str, ...] = ()) -> DataFrame:
     """Counts per tumbling, sliding or session window, with a watermark for late events."""
     at = F.col(ts).cast("timestamp")

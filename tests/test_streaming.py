@@ -20,7 +20,10 @@ def test_upsert_stream_keeps_latest(spark, tmp_path):
     go()
     write(src, [{"key": 1, "op": "u", "table": "t", "lsn": 3, "value": 9.0}, {"key": 2, "op": "d", "table": "t", "lsn": 4, "value": None}])
     go()  # resumes from the checkpoint
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()] == [(1, 9.0)]
+    assert [tuple(r) for r in cdc.latest_table(spark, str(tmp_path / "t")).collect()] == [(1, 9.0)]
+    write(src, [{"key": 0, "op": "t", "table": "t", "lsn": 5, "value": None}, {"key": 7, "op": "r", "table": "t", "lsn": 6, "value": 7.0}])
+    go()
+    assert [tuple(r) for r in cdc.latest_table(spark, str(tmp_path / "t")).collect()] == [(7, 7.0)]
 
 
 def test_fan_out(spark, tmp_path):
