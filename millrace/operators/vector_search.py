@@ -67,9 +67,9 @@ class ScalarQuantizer:
 
 
 class ProductQuantizer:
-    """Centroids per slice of the dimensions; distances to a query come from per-slice tables."""
+    """Centroids per slice of the dimensions, trained on about `sample` rows at most; distances to a query come from per-slice tables."""
 
-    def __init__(self, df: DataFrame, vec_col: str, parts: int = 8, centroids: int = 256, iterations: int = 25, seed: int = 42):
+    def __init__(self, df: DataFrame, vec_col: str, parts: int = 8, centroids: int = 256, iterations: int = 25, seed: int = 42, sample: int = 100_000):
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
@@ -77,10 +77,13 @@ class ProductQuantizer:
         if dim % parts:
             raise ValueError(f"{dim} dimensions do not split into {parts} parts")
         self.width, self.books = dim // parts, []
+        total = df.count()
+        train = (df.sample(sample / total, seed) if total > sample else df).select(F.col(vec_col).cast("array<double>").alias("v")).persist()
         for p in range(parts):
-            part = df.select(array_to_vector(F.slice(F.col(vec_col).cast("array<double>"), p * self.width + 1, self.width)).alias("features"))
+            part = train.select(array_to_vector(F.slice("v", p * self.width + 1, self.width)).alias("features"))
             model = KMeans(k=centroids, seed=seed, maxIter=iterations).fit(part)
             self.books.append([c.tolist() for c in model.clusterCenters()])
+        train.unpersist()
 
     def encode(self, v: Column) -> Column:
         codes = []
