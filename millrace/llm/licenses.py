@@ -1,13 +1,18 @@
 """Licence scans: normalised text compared to licence templates by the Dice coefficient over word bigrams.
 
 Units are a text's lines and, where lines follow each other without a blank one, their paragraphs.  A
-unit's words are its runs of letters, digits and dots in lower case; it is compared to the templates whose
-size lets the coefficient reach the threshold: with a and b bigrams it is at most 2 min(a, b) / (a + b).
-Column expressions only; a document is scanned within its row, without any shuffle.
+unit's words are its runs of letters, digits and dots in lower case.  It is compared to a template as a whole
+and by windows of the template's size, one from each of its bigrams that the template holds, so that a
+notice counts that stands between other words.  Bounds on sizes prune both: with a and b bigrams the
+coefficient is at most 2 min(a, b) / (a + b), so a template of m bigrams shares at least
+threshold * m / (2 - threshold) of them with any text that reaches the threshold, and a unit that holds
+fewer is not compared.  Column expressions only; a document is scanned within its row, without any shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +58,9 @@ def words(text: Column) -> Column:
 
 
 def _bigrams(w: Column) -> Column:
-    """Distinct hashes of neighbouring words; empty for fewer than two."""
+    """Hashes of neighbouring words in their order; empty for fewer than two."""
     n = F.size(w)
-    pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.array_distinct(pairs)
+    return F.zip_with(F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
 def _with(value: Column, f) -> Column:
@@ -67,26 +71,43 @@ def _with(value: Column, f) -> Column:
 def templates(spark: SparkSession, named=None) -> list[tuple[str, list[int]]]:
     """(licence, bigram hashes) of each template: a few hundred values, computed once by the same expressions."""
     flat = [(name, t) for name, ts in (named or TEMPLATES).items() for t in ts]
-    df = spark.createDataFrame(flat, "name string, t string").select("name", _bigrams(words(F.col("t"))).alias("g"))
+    df = spark.createDataFrame(flat, "name string, t string").select("name", F.array_distinct(_bigrams(words(F.col("t")))).alias("g"))
     return sorted((r.name, list(r.g)) for r in df.collect())
 
 
 def best_match(unit: Column, known: list[tuple[str, list[int]]], threshold: float = THRESHOLD) -> Column:
     """struct(score, license) of the most similar template, null below the threshold; ties to the later name."""
-    low = min(threshold * len(g) / (2 - threshold) for _, g in known)
-
-    def compare(g: Column) -> Column:
-        n, found = F.size(g), []
-        for name, t in known:
-            m = len(t)
-            lo, hi = threshold * m / (2 - threshold), m * (2 - threshold) / threshold
-            dice = F.lit(2.0) * F.size(F.array_intersect(g, F.lit(t))) / (n + m)
-            found.append(F.when((n >= lo) & (n <= hi), F.when(dice >= threshold, F.struct(dice.alias("score"), F.lit(name).alias("license")))))
-        return F.greatest(*found) if len(found) > 1 else found[0]
-
-    # the number of blanks bounds the number of words from above only for single blanks, so the cheap bound is on length
+    # a coefficient of the threshold needs so many shared bigrams, and no fewer in the unit
+    least = {len(t): math.ceil(threshold * len(t) / (2 - threshold) - 1e-9) for _, t in known}
+    low, every = min(least.values()), sorted({g for _, t in known for g in t})
+
+    def likeness(g: Column, t: list[int]) -> Column:
+        return _with(F.array_distinct(g), lambda d: F.lit(2.0) * F.size(F.array_intersect(d, F.lit(t))) / (F.size(d) + len(t)))
+
+    def compare(g: Column, at: Column, name: str, t: list[int]) -> Column:
+        """`at`: the places (from 1) of the bigrams of g that any template holds."""
+
+        def scored(own: Column) -> Column:
+            windows = F.transform(own, lambda i: likeness(F.slice(g, i, F.lit(len(t))), t))
+            score = F.greatest(likeness(g, t), F.array_max(windows))
+            enough = F.size(F.array_distinct(F.transform(own, lambda i: F.element_at(g, i)))) >= least[len(t)]
+            found = _with(score, lambda x: F.when(x >= threshold, F.struct(x.alias("score"), F.lit(name).alias("license"))))
+            return F.when(F.size(own) >= least[len(t)], F.when(enough, found))
+
+        return _with(F.filter(at, lambda i: F.element_at(g, i).isin(t)), scored)
+
+    def best(g: Column) -> Column:
+        places = F.filter(F.transform(g, lambda x, i: F.when(x.isin(every), i + 1)), lambda i: i.isNotNull())
+
+        def of_any(at: Column) -> Column:
+            found = [compare(g, at, name, t) for name, t in known]
+            return F.when(F.size(at) >= low, F.greatest(*found) if len(found) > 1 else found[0])
+
+        return _with(places, of_any)
+
+    # `low` bigrams have low + 1 words and low blanks between them
     fits = F.length(unit) >= 2 * low
-    return F.when(fits, _with(words(unit), lambda w: F.when(F.size(w) - 1 >= low, _with(_bigrams(w), compare))))
+    return F.when(fits, _with(words(unit), lambda w: F.when(F.size(w) - 1 >= low, _with(_bigrams(w), best))))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, named=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

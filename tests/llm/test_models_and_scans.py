@@ -124,13 +124,15 @@ def test_secret_edges(empty, odd, docs):
 
 
 # --- 9: licences
-def dice(a, b):
+def dice(unit, template):
+    """The best of the whole unit and all its windows of the template's size."""
     def grams(t):
         w = [x for x in re.split(r"[^a-z0-9.]+|\.(?![a-z0-9])", t.lower()) if x]
-        return {tuple(w[i : i + 2]) for i in range(len(w) - 1)}
+        return [tuple(w[i : i + 2]) for i in range(len(w) - 1)]
 
-    x, y = grams(a), grams(b)
-    return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
+    x, y = grams(unit), set(grams(template))
+    parts = [set(x)] + [set(x[i : i + len(y)]) for i in range(len(x))]
+    return max(2 * len(p & y) / (len(p) + len(y)) if p else 0.0 for p in parts)
 
 
 def test_licences_match_brute_force(spark):
@@ -144,6 +146,9 @@ def test_licences_match_brute_force(spark):
         texts.append(prose(rng, 9) + "\n" + " ".join(w) + "\n" + prose(rng, 7))
     long = dict(flat)["MIT"].split(" ")
     texts.append(" ".join(long[:30]) + "\n" + " ".join(long[30:]) + "\n\nend")  # a notice over two lines
+    for n, t in flat:  # notices between other words of their line
+        texts.append(f"{prose(rng, 6)} {t} {prose(rng, 8)}")
+    texts += ["Copyright 2021 Foo Inc. All rights reserved.", "some of the terms of the work and the rights of the author " * 30, "Released under the MIT License. " * 40]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i, t in enumerate(texts):
         units = (t or "").split("\n") + [p for p in re.split(r"\n[\x20\x09\x0D]*\n", t or "") if "\n" in p]
@@ -157,7 +162,13 @@ def test_licences_match_brute_force(spark):
 def test_a_long_line_that_repeats_a_notice_matches(spark):
     df = spark.createDataFrame([(1, "All rights reserved. " * 1900)], "doc_id long, text string")
     got = licenses.scan(df).first()
-    assert (got.license, got.score, got.n_matches) == ("Proprietary", 0.8, 1)
+    assert (got.license, got.score, got.n_matches) == ("Proprietary", 1.0, 1)
+
+
+def test_a_very_long_line_holds_its_notice(spark):
+    text = "some of the terms of the work " * 100_000 + "Released under the MIT License. And then more. " + "to the extent " * 100_000
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.license, got.score, got.n_matches) == ("MIT", 1.0, 1)
 
 
 def test_licence_edges(empty, odd):
