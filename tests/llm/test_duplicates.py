@@ -131,6 +131,26 @@ def test_fingerprints_with_next(docs, corpus):
     assert plain == {i: r.fingerprint for i, r in got.items()}
 
 
+def test_likeness_matches_brute_force(docs, corpus):
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    def agree(a, b):
+        return sum(a[k : k + 4] == b[k : k + 4] for k in range(0, len(a), 4)) / (len(a) // 4)
+
+    got = {r.doc_id: r for r in fingerprints.fingerprint_with_next(docs).collect()}
+    for k, (i, t, *_) in enumerate(corpus):
+        j, u, *_ = corpus[(k + 1) % len(corpus)]
+        t, u = t or "", u or ""
+        half = len(t) // 2
+        a, b, e = grams(t), grams(u), grams(t[: len(t) - half] + u[:half])
+        for near, other, fp in ((got[i].near_next, b, got[j].fingerprint), (got[i].near_edited, e, got[i].edited_fingerprint)):
+            if a and other:
+                assert near == agree(got[i].fingerprint, fp)
+                assert abs(near - len(a & other) / len(a | other)) < 0.2  # 4.5 standard deviations at the most
+
+
 def test_minhash_equals_brute_force():
     x = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     starts = np.array([0, 1, 5, 120])
