@@ -114,7 +114,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, named=None, id_col: str
     """id_col, n_units, n_matches, license, score, matches for every row of `docs`.
 
     matches: struct(unit, score, license) per matching unit, lines numbered from 0, then paragraphs; license
-    and score are the best of them (highest score, then the later name), null without a match.  A null text
+    and score are the best of them (highest score, then the later name), null without a match; a notice on
+    one line of a paragraph counts for the line and for the paragraph.  A null text
     counts as empty; repeated rows and null ids are kept as they are; further columns are ignored.
     """
     known = templates(docs.sparkSession, named)

@@ -161,7 +161,8 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """`docs` without the lines that repeat an earlier one.  Documents that lose all their lines go;
-    n_chars is recomputed where lines were taken out."""
+    n_chars is recomputed where lines were taken out.  Null and blank texts stay as they are; null ids come
+    last, rows that agree in doc_id and text are one document, and further columns are kept."""
     drops = dropped_lines(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_th", F.xxhash64(text))

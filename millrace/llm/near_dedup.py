@@ -208,7 +208,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, signa
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`docs` without the rows whose text is a near copy, from `percent` on, of that of a smaller doc_id.
-    Rows with null ids, and texts without words, stay."""
+    Rows with null ids, and null texts or texts without words, stay.  Rows that share a doc_id are one
+    document and do not take each other out; repeated rows stay or go together.  Further columns are kept."""
     gone = _components(docs, "doc_id", "text", percent).filter("component <> id").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return keyed.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_th")), "left_anti").select(*docs.columns)

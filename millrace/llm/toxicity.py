@@ -202,7 +202,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """`docs` without the rows whose score reaches `threshold`."""
+    """`docs` without the rows whose score reaches `threshold`.  A null text counts as empty, equal texts
+    stay or go together, and ids and further columns play no part; an empty table stays empty."""
     model = fit(docs, labels)
     names, kinds = docs.columns, docs.schema
 

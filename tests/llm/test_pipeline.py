@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import __spark_entry__
 import corpus_pipeline
 from millrace.llm import common
@@ -35,3 +37,31 @@ def test_near_duplicates_go_from_80_percent(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
     stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
     assert [r.doc_id for r in stage(spark, docs, "").collect()] == [0]
+
+
+#: doc_ids that each stage keeps of the fixture of nulls, repeated rows and clashing columns.
+KEPT = {
+    "toxicity": [None, None, 1, 2, 2, 3],
+    "line dedup": [None, 1, 2, 2, 3],  # the row with a null id comes last, so its only line repeats that of document 2
+    "MinHash near-dedup": [None, None, 1, 2, 2, 3],  # null ids stay, rows that share an id are one document
+    "source mixing": [None, 2],  # documents with words, the repeated one once
+    "SentencePiece coding": [None, None, 1, 2, 2, 3],
+}
+
+
+@pytest.mark.parametrize("name", list(KEPT))
+def test_stage_edges(spark, tmp_path, empty, odd, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    spark.createDataFrame([(2, 0), (3, 0), (None, 1), (1, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    last = name == corpus_pipeline.STAGES[-1][0]
+    got = stage(spark, odd, str(tmp_path))
+    assert last or got.columns == odd.columns
+    rows = got.collect()
+    ids = [r.doc_id for r in rows]
+    if name == "source mixing":  # a row for each time that words of a document are taken
+        ids = set(ids)
+        assert all(r.n_chars == len(r.text) and "a b c d e f g h".find(r.text.strip()) >= 0 for r in rows)
+    assert sorted(ids, key=lambda i: -1 if i is None else i) == KEPT[name]
+    assert not last or all(r.lossless for r in rows)
+    none = stage(spark, empty, str(tmp_path))
+    assert none.count() == 0 and (last or none.columns == empty.columns)
