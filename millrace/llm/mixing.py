@@ -196,7 +196,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     source and text count as one document."""
     names, rows = docs.columns, docs.dropDuplicates(["doc_id", "source", "text"]) if _repeats(docs) else docs
     mix = Mix(rows)
-    keyed = mix.slots.join(mix.parts, ["s", "block"]).groupBy("s", "start", "size", "epoch").agg(F.collect_list(F.struct("from_word", "words")).alias("runs"))
+    # both sides grow with the words, but Spark's size check sees only what they are made from, a short plan and a table
+    # of documents: without the hint it broadcasts them through the driver
+    keyed = mix.slots.hint("merge").join(mix.parts, ["s", "block"]).groupBy("s", "start", "size", "epoch").agg(F.collect_list(F.struct("from_word", "words")).alias("runs"))
     keyed = keyed.join(mix.documents.filter("size > 0"), ["s", "start", "size"]).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("fp").alias("_fp"), "runs")
     full = rows.withColumn("_fp2", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     on = full["doc_id"].eqNullSafe(keyed["_id"]) & full["source"].eqNullSafe(keyed["_source"]) & (full["_fp2"] == keyed["_fp"])

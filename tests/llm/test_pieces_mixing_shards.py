@@ -96,6 +96,14 @@ def test_mixed_documents_hold_the_taken_words(docs):
     assert dict(words) == {k: v for k, v in mix.items() if v}
 
 
+def test_slots_and_blocks_of_a_mix_do_not_pass_through_the_driver(docs):
+    got = mixing.mix_documents(docs)
+    assert got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]  # as it ran
+    assert re.search(r"Join \[s#\d+, block#", plan)
+    assert not re.search(r"BroadcastHashJoin \[s#\d+, block#", plan)
+
+
 def test_permutation_and_draws():
     for n in (1, 2, 5, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
