@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Shuffle files go at the end of a query, not when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -39,7 +42,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     lost executor costs a re-read, not a re-computation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)  # a new query, which takes up the setting
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     spark._jvm.System.gc()  # the driver's collector is what lets go of the shuffle files of earlier plans
     if not _written:
         atexit.register(_drop_all)
@@ -235,12 +243,13 @@ def array_overlap(pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "i", (F.col("n") - F.col("i")).alias("u"))
 
 
-def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, can_link, overlap=array_overlap, as_sets=lambda c: c) -> DataFrame:
+def link_components(rows: DataFrame, bands: DataFrame | list[DataFrame], contents, percent: int, can_link, overlap=array_overlap, as_sets=lambda c: c, done=lambda what: None) -> DataFrame:
     """(id, component) of the sets that are linked with any other, in the graph whose candidate links are
     the pairs that share a bucket and whose links have 100 |A & B| >= percent |A | B|.
 
     rows: (id, sketch columns ...), one row per distinct set.  bands: (key, id), a row per bucket that a set
-    is in.  contents(ids) gives (id, c), what a set is made of; overlap(pairs) gives the sizes of the
+    is in; of several such tables, which share no bucket, each is shuffled by itself.  done("rows") is called
+    when rows and bands are not read again, done("contents") when contents is not.  contents(ids) gives (id, c), what a set is made of; overlap(pairs) gives the sizes of the
     intersection and union of two of them, and as_sets(contents) turns c into the set as array<long>.
     can_link(a, b) is a cheap necessary condition on the sketches of two rows, given by their column
     prefixes.
@@ -255,11 +264,16 @@ def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, c
     So a group of copies costs about as many comparisons as it has members, and no candidate that could
     join two components is left out.
     """
-    buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    star = materialize(bands.join(buckets.select(apart("key").alias("of"), "leader", "size").hint("shuffle_hash"), F.col("key") == F.col("of")).drop("of"), "star")
+    stars = []
+    for part in bands if isinstance(bands, list) else [bands]:
+        buckets = part.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
+        stars.append(materialize(part.join(buckets.select(apart("key").alias("of"), "leader", "size").hint("shuffle_hash"), F.col("key") == F.col("of")).drop("of"), "star"))
+    star = reduce(DataFrame.union, stars)
     members = star.select("id").distinct()
-    held = materialize(contents(members), "contents")
     sketches = materialize(rows.join(members.hint("shuffle_hash"), "id", "left_semi"), "sketches")
+    done("rows")
+    held = materialize(contents(members), "contents")
+    done("contents")
 
     def side(df: DataFrame, s: str, *but: str) -> DataFrame:
         return df.select(*[F.col(c).alias(c if c in but else s if c == "id" else f"{s}_{c}") for c in df.columns])
@@ -309,9 +323,9 @@ def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, c
         sets = as_sets(held.join(third, "id").select("id", "c"))
         tokens = sets.select("id", F.size("c").alias("n"), F.explode("c").alias("token"))
         # elements of one set only come first in every order and meet no other set: they just use up the prefix
-        ranked = tokens.withColumn("df", F.expr("count(*) over (partition by token)"))
-        ranked = ranked.withColumn("r", F.expr("row_number() over (partition by id order by df, token)"))
-        cut = ranked.filter(f"df > 1 and r <= n - ceil(n * {percent} / 100D - 1e-9) + 1").select("id", "token", "r", "n")
+        ranked = tokens.withColumn("df", F.expr("count(*) over (partition by token)")).filter("df > 1")
+        ranked = ranked.withColumn("r", F.expr("n - count(*) over (partition by id) + row_number() over (partition by id order by df, token)"))
+        cut = ranked.filter(f"r <= n - ceil(n * {percent} / 100D - 1e-9) + 1").select("id", "token", "r", "n")
         heads = cut.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("r", "token"))).alias("p"))
         heads = materialize(sketches.drop("n").join(heads, "id"), "heads")
         least = f"ceil({percent} * (a_n + b_n) / {100 + percent}D - 1e-9)"  # elements that two linked sets share
@@ -324,6 +338,6 @@ def link_components(rows: DataFrame, bands: DataFrame, contents, percent: int, c
             cross = cross.filter(f"a_r <= a_n - {least} + 1 and b_r <= b_n - {least} + 1").filter(can_link("a", "b"))
             close(untested(cross.filter("element_at(array_intersect(a_p, b_p), 1) = token").select("a", "b").distinct()))
         discard(heads)
-    for x in (star, large, held, sketches, *tested):
+    for x in (*stars, large, held, sketches, *tested):
         discard(x)
     return comp

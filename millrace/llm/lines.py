@@ -28,8 +28,8 @@ MINIMA = BANDS * ROWS
 PERCENT = 80
 #: Full sets are compared if so many minima agree: at the threshold 16 do, fewer than 8 with a probability of 1e-4.
 LEAST_EQUAL = 8
-#: Shingles signed per row; only sizes the work.
-STEP = 6
+#: Shingles signed per row, and bands shuffled at once; only size the work.
+STEP, BANDS_AT_ONCE = 6, 4
 #: Characters are UTF-16 units of two bytes: all shingles have the same length in bytes.
 _CODE, _WIDTH = "UTF-16BE", 2 * SHINGLE
 #: The place (from 1) of the last shingle of a line u.
@@ -107,24 +107,36 @@ def _can_link(a: str, b: str) -> Column:
     return sum(differ[1:], differ[0]) <= MINIMA - LEAST_EQUAL
 
 
-def line_components(found: DataFrame) -> DataFrame:
-    """(id, component) of the distinct lines that are linked with another."""
+def line_components(found: DataFrame, text_done=lambda: None) -> DataFrame:
+    """(id, component) of the distinct lines that are linked with another.  text_done() is called when
+    `found` is not read again."""
     def contents(ids: DataFrame) -> DataFrame:
         return found.select("id", F.col("line").alias("c")).join(ids.hint("shuffle_hash"), "id", "left_semi")
 
     marks = signed(found)
-    bands = marks.select(F.explode(F.array(*_KEYS)).alias("key"), "id")
-    comp = common.link_components(marks.select("id", *_SKETCH), bands, contents, PERCENT, _can_link, overlap, as_sets)
-    common.discard(marks)
-    return comp
+    bands = [marks.select(F.explode(F.array(*_KEYS[b : b + BANDS_AT_ONCE])).alias("key"), "id") for b in range(0, BANDS, BANDS_AT_ONCE)]
+
+    def done(what: str) -> None:
+        if what == "rows":
+            common.discard(marks)
+        else:
+            text_done()
+
+    return common.link_components(marks.select("id", *_SKETCH), bands, contents, PERCENT, _can_link, overlap, as_sets, done)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(did, th, drops array<int>): the places of the lines that go, per document that loses any."""
     found = distinct_lines(docs)
-    comp = line_components(found)
+    keys: list[DataFrame] = []
+
+    def text_done() -> None:
+        keys.append(materialize(found.select("id", "h1", "h2", "copies", "first"), "line-keys"))
+        common.discard(found)
+
+    comp = line_components(found, text_done)
     # lines that stand alone need no second look
-    shared = found.select("id", "h1", "h2", "copies", "first").join(comp.select(apart("id").alias("of"), "component"), F.col("id") == F.col("of"), "left").filter("component is not null or copies > 1")
+    shared = keys[0].join(comp.select(apart("id").alias("of"), "component"), F.col("id") == F.col("of"), "left").filter("component is not null or copies > 1")
     shared = shared.select("h1", "h2", F.coalesce("component", "id").alias("component"), "first")
     lead = shared.groupBy("component").agg(F.min("first").alias("lead")).select(apart("component").alias("of"), "lead")
     shared = shared.join(lead, F.col("component") == F.col("of")).select(apart("h1").alias("k1"), apart("h2").alias("k2"), "component", "lead")
@@ -135,7 +147,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     first = led.groupBy("component").agg(F.min(F.struct("th", "pos")).alias("f")).select(apart("component").alias("of"), "f")
     rest = led.join(first, F.col("component") == F.col("of")).filter("th <> f.th or pos <> f.pos").select("did", "th", "pos")
     gone = places.filter("did <> lead").select("did", "th", "pos").union(rest)
-    common.discard(found)
+    common.discard(keys[0])
     return gone.groupBy("did", "th").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
 
 

@@ -290,6 +290,22 @@ def test_line_signatures_equal_brute_force(spark):
         assert [x % 2**64 for x in r[1:]] == [min((v ^ p) - 2**64 * ((v ^ p) >> 63) for v in sets[r.id]) % 2**64 for p in (x % 2**64 for x in lines._points())]
 
 
+def test_tables_of_lines_go_as_soon_as_nothing_reads_them(spark, corpus, monkeypatch):
+    real, old, there = common.materialize, {p for _, p in common._written}, {}
+
+    def spy(df, tag):
+        there.setdefault(tag, [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, p in common._written if p not in old])
+        return real(df, tag)
+
+    monkeypatch.setattr(common, "materialize", spy)
+    monkeypatch.setattr(lines, "materialize", spy)
+    lines.line_report(spark.createDataFrame(corpus[:30], SCHEMA))
+    assert "lines" in there["signed"] and "star" in there["contents"]
+    assert "signed" not in there["contents"]  # signatures go once their buckets are known
+    assert "lines" not in there["pairs"]  # the text goes once that of the candidates is set apart
+    assert there["sketches"].count("star") > 1  # bands are shuffled a few at a time
+
+
 def test_line_dedup_is_native(docs, spark):
     from millrace.sources.files import explain
 
