@@ -306,6 +306,13 @@ def test_tables_of_lines_go_as_soon_as_nothing_reads_them(spark, corpus, monkeyp
     assert there["sketches"].count("star") > 1  # bands are shuffled a few at a time
 
 
+def test_written_tables_hand_native_memory_back(spark, monkeypatch):
+    said, trim = [], common.trim_native
+    monkeypatch.setattr(common, "trim_native", lambda s: said.append(trim(s)))
+    common.discard(common.materialize(spark.range(10), "trim"))
+    assert len(said) == 1 and (said[0] is None or "rim" in said[0])
+
+
 def test_line_dedup_is_native(docs, spark):
     from millrace.sources.files import explain
 
