@@ -79,9 +79,12 @@ def as_sets(contents: DataFrame) -> DataFrame:
 def _lines(docs: DataFrame) -> DataFrame:
     """A row per line that is not blank: did, th (the document's key), pos, line, and its 128-bit hash h1, h2."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cut = F.transform(F.split(F.lower(text), "\n"), lambda x: F.trim(x, F.lit(_BLANKS)))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("did"), F.xxhash64(text).alias("th"), cut.alias("cut"))
-    rows = rows.select("did", "th", F.posexplode("cut").alias("pos", "line")).filter("line <> ''")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("did"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # trimming looks at all characters of a line: few have a blank at an end
+    blank_end = reduce(Column.__or__, [end("line", F.lit(b)) for end in (F.startswith, F.endswith) for b in _BLANKS])
+    rows = rows.select("did", "th", "pos", F.when(blank_end, F.trim("line", F.lit(_BLANKS))).otherwise(F.col("line")).alias("line"))
+    # lower case line by line: no letter's depends on what lies beyond a line feed
+    rows = rows.filter("line <> ''").select("did", "th", "pos", F.lower("line").alias("line"))
     return rows.select("did", "th", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 

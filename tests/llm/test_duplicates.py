@@ -306,6 +306,15 @@ def test_tables_of_lines_go_as_soon_as_nothing_reads_them(spark, corpus, monkeyp
     assert there["sketches"].count("star") > 1  # bands are shuffled a few at a time
 
 
+def test_lines_are_cut_without_lambdas_and_as_defined(spark):
+    texts = [" \tΑΣ\r\nΣΑΣ  \n\n \x0b\x0c\nİI x", "ΑΣ\nΑ\u00a0\n\u3000B ", None, "", "\n", "One\r\none", "A" + " " * 50]
+    found = lines._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.did, r.pos, r.line) for r in found.collect())
+    cut = [(i, k, x.strip(" \t\n\x0b\x0c\r").lower()) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
+    assert got == sorted(x for x in cut if x[2])
+
+
 def test_written_tables_hand_native_memory_back(spark, monkeypatch):
     said, trim = [], common.trim_native
     monkeypatch.setattr(common, "trim_native", lambda s: said.append(trim(s)))
