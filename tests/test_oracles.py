@@ -54,3 +54,10 @@ def test_pushdown_reaches_the_scan(spark):
 
     plan = explain(QUERIES["scan_range"](spark, D))
     assert "GreaterThanOrEqual(o_orderkey,100)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+def test_apply_ranks_in_an_order_of_its_own(spark):
+    """A sort before the shuffle does not reach the window where blocks come from several executors."""
+    plan = QUERIES["join_apply"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    window = next(x for x in plan.splitlines() if "row_number()" in x and "Window " in x)
+    assert "o_totalprice" in window and "DESC" in window
