@@ -119,10 +119,21 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], time: str, keep
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
-    """Rows with low <= value < high by an equi-join on buckets of `width`, then the exact test."""
-    a = points.withColumn("_b", F.floor(F.col(value) / width))
-    b = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return a.join(b, "_b").filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_b")
+    """Rows with low <= value < high by an equi-join on buckets of `width`, then the exact test.
+
+    Points meet each distinct range once; then the rows that share a range stream past its points by sort-merge,
+    on as many tasks as there are shuffle partitions, whatever the bytes.  A result may have as many rows as
+    points times ranges: so it is formed last and not shuffled, neither side is held whole, and a row's points
+    come one after another, in the same order for all rows of a range, which columnar files keep small."""
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # bounds as text: Spark normalizes floats that are join keys, and would shuffle once more for that
+    keys = [F.col(low).cast("string").alias("_k0"), F.col(high).cast("string").alias("_k1")]
+    each = ranges.select("*", *keys).repartition(n, "_k0", "_k1")
+    bounds = ranges.select(F.col(low).alias("_lo"), F.col(high).alias("_hi"), *keys).distinct()
+    bounds = bounds.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
+    near = points.withColumn("_b", F.floor(F.col(value) / width)).join(bounds, "_b")
+    near = near.filter((F.col(value) >= F.col("_lo")) & (F.col(value) < F.col("_hi"))).select(*points.columns, "_k0", "_k1").repartition(n, "_k0", "_k1")
+    return each.hint("merge").join(near, ["_k0", "_k1"]).select(*points.columns, *ranges.columns)
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: int = 16, how: str = "inner", share: float = 0.01) -> DataFrame:

@@ -141,3 +141,16 @@ def test_sequences_are_gapless_over_many_partitions(spark):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
     names = spark.createDataFrame([(x,) for x in ["b", None, "", "a", "zz", "é", "aa"]], "s string")
     assert [r.s for r in R.with_sequence(names, "n", ["s"]).orderBy("n").collect()] == [None, "", "a", "aa", "b", "zz", "é"]
+
+
+def test_range_join_gives_a_ranges_points_in_one_run(spark):
+    points = [(i, None if i == 7 else (i * 37 % 400) / 4 - 10) for i in range(300)]
+    ranges = [(i, *[(0.0, 20.0), (-0.0, 20.0), (-9.5, -3.0), (5.0, 5.0), (30.0, 12.0), (None, 4.0), (11.0, 80.0)][i % 7]) for i in range(70)]
+    a, b = spark.createDataFrame(points, "p int, v double"), spark.createDataFrame(ranges, "r int, lo double, hi double")
+    got = [(r.p, r.r) for r in R.range_join(a, b, "v", "lo", "hi", 10.0).collect()]
+    assert sorted(got) == sorted((p, r) for p, v in points for r, lo, hi in ranges if None not in (v, lo, hi) and lo <= v < hi)
+    lists = {}
+    for p, r in got:
+        lists.setdefault(r, []).append(p)
+    assert sum(x[1] != y[1] for x, y in zip(got, got[1:])) == len(lists) - 1
+    assert all(lists[r] == lists[r % 7] for r in lists)
