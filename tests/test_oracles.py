@@ -6,6 +6,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.plans.all_queries import ORACLES, QUERIES
 
@@ -61,3 +62,21 @@ def test_apply_ranks_in_an_order_of_its_own(spark):
     plan = QUERIES["join_apply"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     window = next(x for x in plan.splitlines() if "row_number()" in x and "Window " in x)
     assert "o_totalprice" in window and "DESC" in window
+
+
+def _sketches_per_value(spark, name: str, value: str) -> list[str]:
+    plan = QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Aggregate" in x and "approx" in x and value in x.partition("functions=")[0]]
+
+
+def test_agg_approx_keeps_sketches_per_status_only(spark):
+    assert not _sketches_per_value(spark, "agg_approx", "o_custkey")
+
+
+def test_agg_approx_judges_as_percentiles_do(spark, tmp_path):
+    orders = [(s, i % k if k else None, None if s == "none" else float(v)) for s, k, m in (("a", 5, 1), ("b", 1, 7), (None, 3, 50), ("none", 0, 3)) for i, v in enumerate([1, 1, 2, 9, 9, 9, 9, 12, -4, 30][:m] * 3)]
+    spark.createDataFrame(orders, "o_orderstatus string, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    o = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    want = o.groupBy("o_orderstatus").agg(F.percentile_approx("o_totalprice", 0.5, 10000).alias("m"), F.percentile("o_totalprice", [0.45, 0.55]).alias("p")).selectExpr("o_orderstatus", "true as distinct_ok", "m between p[0] and p[1] as median_ok")
+    got = QUERIES["agg_approx"](spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
