@@ -80,3 +80,7 @@ def test_agg_approx_judges_as_percentiles_do(spark, tmp_path):
     want = o.groupBy("o_orderstatus").agg(F.percentile_approx("o_totalprice", 0.5, 10000).alias("m"), F.percentile("o_totalprice", [0.45, 0.55]).alias("p")).selectExpr("o_orderstatus", "true as distinct_ok", "m between p[0] and p[1] as median_ok")
     got = QUERIES["agg_approx"](spark, str(tmp_path))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_agg_approx_distinct_keeps_sketches_per_flag_only(spark):
+    assert not _sketches_per_value(spark, "agg_approx_distinct", "l_partkey")
