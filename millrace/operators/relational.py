@@ -163,12 +163,31 @@ def partition(df: DataFrame, scheme: str, n: int = 0, columns: list[str] | None
     raise ValueError(f"unknown scheme {scheme!r} or no columns")
 
 
-def partition_by_bounds(df: DataFrame, column: str, bounds: list) -> DataFrame:
-    """Range partitioning by given bounds: row partition i holds bounds[i - 1] <= value < bounds[i]; nulls go to the first."""
+def _range_of(column: str, bounds: list) -> Column:
+    """The range i with bounds[i - 1] <= value < bounds[i]; nulls are in the first."""
     place = F.lit(0)
     for b in sorted(bounds):
         place = place + F.when(F.col(column) >= F.lit(b), 1).otherwise(0)
-    return df.repartitionById(len(bounds) + 1, place.cast("int"))
+    return place.cast("int")
+
+
+def parts_by_bounds(df: DataFrame, column: str, bounds: list, rows: int) -> list[int]:
+    """For each range the number of partitions that leaves at most about `rows` rows to each; one count per range is collected."""
+    n = {r._r: r["count"] for r in df.groupBy(_range_of(column, bounds).alias("_r")).count().collect()}
+    return [max(1, -(-n.get(i, 0) // rows)) for i in range(len(bounds) + 1)]
+
+
+def partition_by_bounds(df: DataFrame, column: str, bounds: list, parts: list[int] | None = None) -> DataFrame:
+    """Range partitioning by given bounds: row partition i holds bounds[i - 1] <= value < bounds[i]; nulls go to the first.
+
+    Given bounds may put most rows into one range.  With `parts`, range i is dealt in turn over parts[i]
+    partitions, which follow those of the ranges before it."""
+    place = _range_of(column, bounds)
+    if parts is None:
+        return df.repartitionById(len(bounds) + 1, place)
+    at = lambda x: F.element_at(F.array(*map(F.lit, x)), place + 1)
+    firsts = [sum(parts[:i]) for i in range(len(parts))]
+    return df.repartitionById(sum(parts), (at(firsts) + F.pmod(F.monotonically_increasing_id(), at(parts))).cast("int"))
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:

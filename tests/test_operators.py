@@ -154,3 +154,21 @@ def test_range_join_gives_a_ranges_points_in_one_run(spark):
         lists.setdefault(r, []).append(p)
     assert sum(x[1] != y[1] for x, y in zip(got, got[1:])) == len(lists) - 1
     assert all(lists[r] == lists[r % 7] for r in lists)
+
+
+def test_ranges_of_many_rows_take_several_partitions(spark):
+    t = spark.range(10_000).selectExpr("case when id % 1000 = 999 then null else id - 50 end as k")
+    parts = R.parts_by_bounds(t, "k", [20_000, 0, 100], 1000)
+    assert parts == [1, 1, 10, 1]
+    got = R.partition_by_bounds(t, "k", [20_000, 0, 100], parts).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.countDistinct("k").alias("keys")).collect()
+    assert max(r.n for r in got) <= 1100 and sum(r.n for r in got) == 10_000 and sum(r.keys for r in got) == 9990
+    assert all((r.p == 0 and r.high < 0) or (r.p == 1 and 0 <= r.low and r.high < 100) or (2 <= r.p < 12 and r.low >= 100) for r in got)
+
+
+def test_exchange_bounds_of_many_lines_reads_little_per_task(spark, tmp_path):
+    from millrace.plans.all_queries import QUERIES
+
+    spark.range(5_000_000).selectExpr("id div 4 as l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = QUERIES["exchange_bounds"](spark, str(tmp_path))
+    assert rows(df) == [(0, 400, 0, 99), (1, 1600, 100, 499), (2, 2000, 500, 999), (3, 4_996_000, 1000, 1_249_999)]
+    assert "REPARTITION_BY_NUM" in (plan := df._jdf.queryExecution().executedPlan().toString()) and ", 6)" in plan
